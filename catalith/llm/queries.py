@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm.knn import request_neighbours
+from catalith.llm.survivor import fuse
 from catalith.runtime import table
 
 
@@ -16,5 +17,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "vector_field", "id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record whose value survives, per title and field."""
+    return fuse(table(spark, sf_dir, "anime_records"), table(spark, sf_dir, "feeds")).select("anime_key", "field_name", "record_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
