@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalith.llm.knn import request_neighbours
 from catalith.llm.survivor import fuse
+from catalith.llm.variants import link_variants, variant_pairs
 from catalith.runtime import table
 
 
@@ -22,5 +24,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(table(spark, sf_dir, "anime_records"), table(spark, sf_dir, "feeds")).select("anime_key", "field_name", "record_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of profiles of one title that mean the same character."""
+    pairs = variant_pairs(link_variants(table(spark, sf_dir, "character_profiles")))
+    return pairs.select(F.col("a").alias("profile_id_a"), F.col("b").alias("profile_id_b"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
