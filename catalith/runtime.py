@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,25 @@ def local_session(app: str = "catalith", cores: str = "8", memory: str = "8g") -
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers once, so that it need not be installed on the executors.
+
+    The driver's file server hands the archive out; only the driver reads it from its folder.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_catalith_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="catalith-"), "catalith_package.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, Path(root.name) / source.relative_to(root))
+        sc.addPyFile(archive)
+        sc._catalith_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
