@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm.knn import request_neighbours
+from catalith.llm.matching import match_characters
 from catalith.llm.survivor import fuse
 from catalith.llm.variants import link_variants, variant_pairs
 from catalith.runtime import table
@@ -30,5 +31,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("profile_id_a"), F.col("b").alias("profile_id_b"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of rows of both character tables that mean the same character of the same show."""
+    return match_characters(table(spark, sf_dir, "mal_characters"), table(spark, sf_dir, "anilist_characters")).select("mal_id", "anilist_id")
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence, retrieval score and gap to the next best partner."""
+    return match_characters(table(spark, sf_dir, "mal_characters"), table(spark, sf_dir, "anilist_characters"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence}
 SQL: dict[str, str] = {}
