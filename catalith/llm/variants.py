@@ -20,9 +20,10 @@ form stays alone; repeated profiles link with each other; texts over 200 charact
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.names import deletions, edit_distance, initial_class, name_forms
@@ -97,7 +98,7 @@ def corrected_forms(forms: DataFrame) -> DataFrame:
 
 
 def misspelt_links(forms: DataFrame) -> DataFrame:
-    """(id, key) links of full names one edit apart, of which one at most is made of known words only.
+    """(g, id, key) links of full names one edit apart, of which one at most is made of known words only.
 
     Names left without one letter meet on the rest; a rest that belongs to several well-known names links nobody.
     """
@@ -115,7 +116,7 @@ def misspelt_links(forms: DataFrame) -> DataFrame:
     rests = cut(names.mapInPandas(spread, "g string, id bigint, name string, clean boolean, rest string"))
     clean = F.when(F.col("clean"), F.col("name"))
     met = rests.groupBy("g", "rest").agg(F.min(clean).alias("one"), F.max(clean).alias("other"), F.count_distinct("id").alias("n")).filter("n > 1 and one <=> other")
-    return rests.join(met, ["g", "rest"]).select("id", F.concat_ws("\t", "g", F.coalesce("one", F.concat(F.lit("r:"), "rest"))).alias("key")).distinct()
+    return rests.join(met, ["g", "rest"]).select("g", "id", F.concat_ws("\t", "g", F.coalesce("one", F.concat(F.lit("r:"), "rest"))).alias("key")).distinct()
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,36 +155,45 @@ def link_variants(
     forms = cut(written_forms(profiles, id_col, group_col, text_cols, array_cols))
     corrected = cut(corrected_forms(forms))
     keys = cut(corrected.mapInPandas(_keys, "g string, id bigint, role string, key string").distinct())
-    ids = keys.select("id", "g").distinct()
-    full = keys.filter("role = 'full'").select("id", F.concat_ws("\t", "g", "key").alias("key"))
+    ids = cut(keys.select("id", "g").distinct())
+    full = keys.filter("role = 'full'").select("g", "id", F.concat_ws("\t", "g", "key").alias("key"))
     labels = components(ids.select("id"), full.unionByName(misspelt_links(corrected)))
     merged = -1
     while True:  # merged profiles own what their members own, and look again
-        owned = cut(keys.join(labels, "id").select("g", "label", "role", "key").distinct())
-        named = owned.filter("role = 'named'").select("label").distinct().withColumn("named", F.lit(True))
-        has = owned.join(named, "label", "left").withColumn("named", F.coalesce("named", F.lit(False)))
-        fits = has.filter("named and role in ('fits', 'weak', 'mark')").groupBy("g", "key").agg(F.min("label").alias("one"), F.max("label").alias("other"))
-        looking = has.filter("not named and role in ('weak', 'mark')").select("g", "label", "key").distinct()
-        seen = looking.join(fits, ["g", "key"], "left")
-        votes = seen.filter("one = other").groupBy("label", "one").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("label").agg(F.max_by("one", F.struct("votes", -F.col("one"))).alias("one"), F.max("votes").alias("most"), F.count("*").alias("n"), F.sum("votes").alias("all"))
-        to_named = best.filter("n = 1 or 2 * most > all").select(F.col("label").alias("id"), F.concat(F.lit("l:"), "one").alias("key"), F.col("one").alias("target"))
-        to_named = to_named.select("id", "key").unionByName(to_named.select(F.col("target").alias("id"), "key"))
-        nameless = seen.filter("one is null").select(F.col("label").alias("id"), F.concat_ws("\t", "g", "key").alias("key"))
-        marks = has.filter("named and role = 'mark'").select("label", F.col("key").alias("mark"))
-        pairs = has.filter("named and role = 'fits' and key like 'w:%'").join(marks, "label").select(F.col("label").alias("id"), F.concat_ws("\t", "g", "mark", "key").alias("key"))
-        alone = has.filter("named and role = 'weak' and key like 'w:%'").select("label", F.substring("key", 3, 200).alias("x"))
-        parts = has.filter("named and role = 'fits' and key like 'w:%'").select("label", "g", F.substring("key", 3, 200).alias("y"))
-        whole = alone.join(parts, "label").filter("x <> y").select(F.col("label").alias("id"), F.concat_ws("\t", "g", F.concat(F.lit("c:"), F.least("x", "y"), F.greatest("x", "y"))).alias("key"))
-        known = has.filter("named and role = 'full' and key like 'c:%'").select(F.col("label").alias("id"), F.concat_ws("\t", "g", "key").alias("key"))
-        wider = whole.unionByName(known.join(whole.select("key").distinct(), "key", "left_semi").select("id", "key"))
-        links = to_named.unionByName(nameless).unionByName(pairs).unionByName(wider)
-        higher = components(labels.select(F.col("label").alias("id")).distinct(), links)
-        labels = cut(labels.join(higher.select(F.col("id").alias("label"), F.col("label").alias("top")), "label").select("id", F.col("top").alias("label")))
-        now = labels.select("label").distinct().count()
+        owned = cut(
+            keys.join(labels, "id").groupBy("g", "label").agg(F.collect_set(F.struct("role", "key")).alias("all"), F.bool_or(F.col("role") == "named").alias("named"))
+        )
+        now = owned.count()
         if now == merged:
             return labels.join(ids, "id")
         merged = now
+        higher = components(owned.select(F.col("label").alias("id")), _rematches(owned))
+        labels = cut(labels.join(higher.select(F.col("id").alias("label"), F.col("label").alias("top")), "label").select("id", F.col("top").alias("label")))
+
+
+def _rematches(owned: DataFrame) -> DataFrame:
+    """(g, id, key) links between merged profiles."""
+    each = owned.select("g", "label", "named", F.explode("all").alias("f")).select("g", "label", "named", "f.role", "f.key")
+    fits = each.filter("named and role in ('fits', 'weak', 'mark')").groupBy("g", "key").agg(F.min("label").alias("one"), F.max("label").alias("other"))
+    seen = each.filter("not named and role in ('weak', 'mark')").join(fits, ["g", "key"], "left")
+    votes = F.collect_list(F.when(F.col("one") == F.col("other"), F.col("one")))
+    judged = seen.groupBy("g", "label").agg(votes.alias("votes"), F.collect_set(F.when(F.col("one").isNull(), F.col("key"))).alias("free"))
+    chosen = F.try_element_at(F.filter(F.array_distinct("votes"), lambda v: 2 * F.size(F.filter("votes", lambda w: w == v)) > F.size("votes")), F.lit(1))
+    judged = judged.withColumn("one", chosen)
+    hit = F.when(F.col("one").isNotNull(), F.array(*[F.struct(x.alias("id"), F.concat(F.lit("l:"), F.col("one")).alias("key")) for x in (F.col("label"), F.col("one"))]))
+    free = F.transform("free", lambda k: F.struct(F.col("label").alias("id"), F.concat_ws("\t", "g", k).alias("key")))
+    nameless = judged.select("g", F.explode(F.concat(F.coalesce(hit, F.array().cast("array<struct<id:bigint,key:string>>")), free)).alias("l"))
+    pick = lambda *tests: F.transform(F.filter("all", lambda f: _any(f, tests)), lambda f: f["key"])
+    marks, words, alone, full = pick(("mark", "")), pick(("fits", "w:")), pick(("weak", "w:")), pick(("full", "c:"))
+    marked = F.flatten(F.transform(marks, lambda m: F.transform(words, lambda w: F.concat_ws("\t", m, w))))
+    part = lambda k: F.substring(k, 3, 200)
+    wider = F.flatten(F.transform(alone, lambda x: F.transform(F.filter(words, lambda w: w != x), lambda w: F.concat(F.lit("c:"), F.least(part(x), part(w)), F.greatest(part(x), part(w))))))
+    richer = owned.filter("named").select("g", "label", F.explode(F.array_distinct(F.concat(marked, wider, full))).alias("key"))
+    return nameless.select("g", "l.id", "l.key").unionByName(richer.select("g", F.col("label").alias("id"), F.concat_ws("\t", "g", "key").alias("key")))
+
+
+def _any(f: Column, tests: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda x, y: x | y, [(f["role"] == role) & f["key"].startswith(start) for role, start in tests])
 
 
 def variant_pairs(labels: DataFrame) -> DataFrame:
