@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm.knn import request_neighbours
+from catalith.llm.leakage import leaked
 from catalith.llm.matching import match_characters
+from catalith.llm.packing import fill_report, pack
 from catalith.llm.survivor import fuse
 from catalith.llm.variants import link_variants, variant_pairs
 from catalith.runtime import table
@@ -41,5 +43,21 @@ def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_characters(table(spark, sf_dir, "mal_characters"), table(spark, sf_dir, "anilist_characters"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence}
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which container of each kind every document, or part of one, goes to."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    containers = table(spark, sf_dir, "containers")
+    return fill_report(pack(table(spark, sf_dir, "documents"), containers), containers)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a passage of an evaluation item, with the item."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_found": p8_found}
 SQL: dict[str, str] = {}
