@@ -11,6 +11,7 @@ from catalith.llm.knn import request_neighbours
 from catalith.llm.leakage import leaked
 from catalith.llm.matching import match_characters
 from catalith.llm.packing import fill_report, pack
+from catalith.llm.privacy import find_personal, sanitise
 from catalith.llm.survivor import fuse
 from catalith.llm.variants import link_variants, variant_pairs
 from catalith.runtime import table
@@ -59,5 +60,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct personal details of each document, as they stand in it."""
+    return find_personal(table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "surface").distinct()
+
+
+def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with typed placeholders instead of personal details."""
+    documents = table(spark, sf_dir, "documents")
+    return sanitise(documents, find_personal(documents)).select("doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
 SQL: dict[str, str] = {}
