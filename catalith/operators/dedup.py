@@ -81,8 +81,8 @@ def merge_pair(a: DataFrame, b: DataFrame, key: str, fill: list[str], largest: l
 
 def pick_by_source(relations: DataFrame, url_key: str, source: str, position: str) -> DataFrame:
     """Of relations of one URL: the first of the best source, else the last of the second, else the first of any."""
-    rank = F.when(F.col(source) == "mal", F.struct(F.lit(0), F.col(position))).when(F.col(source) == "animeplanet", F.struct(F.lit(1), -F.col(position))).when(F.col(source) == "animeschedule", F.struct(F.lit(2), F.col(position)))
-    rank = F.coalesce(rank, F.struct(F.lit(3), F.col(position)))
+    place = F.when(F.col(source) == "mal", 0).when(F.col(source) == "animeplanet", 1).when(F.col(source) == "animeschedule", 2).otherwise(3)
+    rank = F.struct(place, F.when(F.col(source) == "animeplanet", -F.col(position)).otherwise(F.col(position)))
     rest = [c for c in relations.columns if c != url_key]
     best = relations.groupBy(url_key).agg(F.min_by(F.struct(*rest), rank).alias("r"), F.min(position).alias("first_seen"))
     return best.select(url_key, *[F.col(f"r.{c}").alias(c) for c in rest], "first_seen")

@@ -33,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def euclid(a: Column, b: Column) -> Column:
     """Negative distance, so that more is nearer."""
-    return -F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d))
+    return F.lit(0.0) - F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d))
 
 
 def similarity(distance: str, a: Column, b: Column) -> Column:
@@ -46,7 +46,11 @@ def clipped_dot(a: Column, b: Column) -> Column:
 
 def max_sim(query: list[list[float]], document: Column, distance: str = "dot") -> Column:
     """Sum over the query's vectors of the best similarity to any of the document's vectors."""
-    parts = [F.array_max(F.transform(document, lambda d, q=q: similarity(distance, d, _literal(q)))) for q in query]
+
+    def best(q: list[float]) -> Column:
+        return F.array_max(F.transform(document, lambda d: similarity(distance, d, _literal(q))))
+
+    parts = [best(q) for q in query]
     return sum(parts[1:], parts[0])
 
 
