@@ -11,7 +11,8 @@ that of a mention the sum over its terms; mentions above ``DISCLOSURE`` are remo
 Found spans are replaced by typed placeholders, everything else stays as it is, letter by letter.
 
 Cases: null texts give no row (and stay null when sanitised); empty texts and texts without personal information stay
-unchanged; where two kinds overlap, the one that begins first (then the longer one) holds; full-width digits and signs
+unchanged; where kinds overlap, mail holds before postal addresses and these before numbers, of numbers the one that
+begins first (then the longer one); full-width digits and signs
 are read like plain ones, the surface stays as written; copies count each; texts of any length are read whole.
 """
 
@@ -39,7 +40,7 @@ _LOCAL, _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?", r"[A-Za-z0-9]
 _AT, _DOT = r"(?:\s?[\[({]\s?at\s?[\])}]\s?|\sat\s(?=[\w\-]+\s?(?:[\[(]\s?dot|dot\s)))", r"(?:\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 EMAIL = re.compile(rf"(?<![\w.+%\-@])(?:{_LOCAL}\s?@\s?{_LABEL}(?:\.{_LABEL})+|{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+)(?![\w@])", re.IGNORECASE)
 
-_EDGE, _END = r"(?<![\w\-./#+(])", r"(?![\w]|[\-./]\d)"
+_EDGE, _END = r"(?<![\w\-./#+()])", r"(?![\w]|[\-./]\d)"
 ID_NUMBER = re.compile(
     _EDGE
     + r"(?:"
@@ -135,7 +136,7 @@ def structured(t: str) -> list[tuple[int, int, str]]:
     found = [(a, b, k) for a, b, k in found if k != "phone" or 9 <= sum(c.isdigit() for c in t[a:b]) <= 15]
     rank = {"email": 0, "address": 1, "id_number": 2, "phone": 3}
     out: list[tuple[int, int, str]] = []
-    for a, b, k in sorted(found, key=lambda s: (rank[s[2]], s[0], -s[1])):
+    for a, b, k in sorted(found, key=lambda s: (min(rank[s[2]], 2), s[0], -s[1], rank[s[2]])):  # of numbers that overlap the longer
         if all(b <= x or a >= y for x, y, _ in out):
             out.append((a, b, k))
     return sorted(out)
