@@ -14,8 +14,12 @@ def distinct_ignoring_case(*lists: Column) -> Column:
     """Trimmed values of all lists in order, the first spelling of each kept."""
     joined = F.concat(*[F.coalesce(clean_strings(x), F.array().cast("array<string>")) for x in lists])
     trimmed = F.transform(joined, lambda v: F.trim(v))
-    keys = F.transform(trimmed, lambda v: F.lower(v))
-    return F.filter(trimmed, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    kept = F.aggregate(
+        trimmed,
+        F.array().cast("array<struct<key:string,value:string>>"),
+        lambda acc, v: F.when(F.array_contains(F.transform(acc, lambda k: k["key"]), F.lower(v)), acc).otherwise(F.concat(acc, F.array(F.struct(F.lower(v).alias("key"), v.alias("value"))))),
+    )
+    return F.transform(kept, lambda k: k["value"])
 
 
 def ordered_distinct(*lists: Column) -> Column:
