@@ -35,7 +35,7 @@ from catalith.runtime import cut, require
 
 N = 3  # words of a seed
 RARE = 2  # items a seed may stand in
-SEEDS = 2  # distinct seeds a document must share with an item
+SEEDS = 3  # distinct seeds a document must share with an item, within reach of each other
 SHARED = 0.02  # of the items (and three at least) from which an n-gram is common wording
 STRETCH, AGREED = 15, 12  # words of the item spanned, and of these agreeing
 OWN_SHARE, OWN_LEAST, PART_LEAST, PART_AGREED = 0.7, 2, 5, 0.75
@@ -229,7 +229,9 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 ws = words(text)
                 for c in candidates:
                     item = ready[c["item_id"]]
-                    best = max(((judge(item, ws[x:y])) for x, y in windows([int(a) for a in c["at"]], len(item.words), len(ws))), key=lambda r: (is_case(item, *r), r))
+                    at = sorted({int(a) for a in c["at"]})
+                    near = [(x, y) for x, y in windows(at, len(item.words), len(ws)) if sum(x <= a < y for a in at) >= SEEDS]
+                    best = max((judge(item, ws[x:y]) for x, y in near), key=lambda r: (is_case(item, *r), r), default=(0, 0))
                     if is_case(item, *best):
                         rows.append((i, item.item_id, int(best[0]), int(best[1])))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "spanned", "agreed"])
