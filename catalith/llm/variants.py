@@ -34,7 +34,7 @@ FREQUENT = 3  # uses from which a word can teach others
 TEACHES = 3  # times as frequent as the word read as it
 LONG = 8  # letters from which two edits are allowed
 KNOWN_USES, KNOWN_GROUPS = 5, 2  # from which a word is taken as it stands
-EPITHET_SHARE = 0.2  # of the uses of a word after "the", from which it is no name
+EPITHET_SHARE = 0.04  # of the uses of a word after "the", from which it is no name
 
 
 def written_forms(profiles: DataFrame, id_col: str, group_col: str, text_cols: tuple[str, ...], array_cols: tuple[str, ...]) -> DataFrame:
