@@ -44,16 +44,17 @@ def _test(x: Column, operator: str, value: object) -> Column:
 
 
 def condition_column(df: DataFrame, c: Condition) -> Column:
+    """The test of one condition; null where the field is missing, which a filter takes as false and pushes down as it is."""
     column, kind = field_column(df, c.field)
     if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.exists(column, lambda x: _test(x, c.operator, c.value)), F.lit(False))
-    return F.coalesce(_test(column, c.operator, c.value), F.lit(False))
+        return F.exists(column, lambda x: _test(x, c.operator, c.value))
+    return _test(column, c.operator, c.value)
 
 
 def filter_column(df: DataFrame, conditions: list[Condition] | tuple[Condition, ...]) -> Column | None:
     """All of must, none of must_not, at least one of should; None for no conditions."""
     by = {k: [condition_column(df, c) for c in conditions if c.clause == k] for k in ("must", "must_not", "should")}
-    parts = by["must"] + [~x for x in by["must_not"]] + ([reduce(lambda a, b: a | b, by["should"])] if by["should"] else [])
+    parts = by["must"] + [~F.coalesce(x, F.lit(False)) for x in by["must_not"]] + ([reduce(lambda a, b: a | b, by["should"])] if by["should"] else [])
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 

@@ -123,7 +123,7 @@ _RRF = "SELECT id, round(sum(1.0 / (2 + place)), 6) AS score FROM (SELECT *, row
 SQL = {
     "knn_cosine": f"SELECT vec_id, round(list_cosine_similarity(embedding::double[], q.v), 6) AS score FROM embeddings, {_Q.format(0)} q WHERE label <> 3 ORDER BY score DESC, vec_id LIMIT 10",
     "knn_dot": f"SELECT vec_id, round(list_inner_product(embedding::double[], q.v), 6) AS score FROM embeddings, {_Q.format(1)} q ORDER BY score DESC, vec_id LIMIT 20",
-    "knn_euclid": f"SELECT vec_id, round(-list_distance(embedding::double[], q.v), 6) AS score FROM embeddings, {_Q.format(2)} q ORDER BY score DESC, vec_id LIMIT 20",
+    "knn_euclid": f"SELECT vec_id, round(0.0 - list_distance(embedding::double[], q.v), 6) AS score FROM embeddings, {_Q.format(2)} q ORDER BY score DESC, vec_id LIMIT 20",
     "knn_threshold": f"SELECT vec_id, round(list_cosine_similarity(embedding::double[], q.v), 6) AS score FROM embeddings, {_Q.format(0)} q WHERE list_cosine_similarity(embedding::double[], q.v) >= 0.2 ORDER BY score DESC, vec_id LIMIT 1000",
     "clipped_similarity": f"SELECT vec_id, round(least(greatest(list_inner_product(embedding::double[], q.v), 0.0), 1.0), 6) AS score FROM embeddings, {_Q.format(4)} q",
     "multivector_maxsim": f"WITH {_Q01} SELECT label, round(max(list_inner_product(embedding::double[], (SELECT v FROM q0))) + max(list_inner_product(embedding::double[], (SELECT v FROM q1))), 6) AS score FROM embeddings GROUP BY label ORDER BY score DESC, label LIMIT 5",
