@@ -42,7 +42,7 @@ def envelope(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in parts], *[p.alias(n) for p, n in zip(pick, parts)])
 
 
-def anime_text(f: Column | None = None) -> Column:
+def anime_text() -> Column:
     """The sections of a record joined by bars, empty ones left out."""
     audience = F.transform(_list(F.col("demographics")), lambda d: enums.lookup(AUDIENCES, d, None))
     expanded = F.transform(F.arrays_zip(_list(F.col("demographics")).alias("d"), audience.alias("a")), lambda z: F.coalesce(z["a"], z["d"]))

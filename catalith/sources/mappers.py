@@ -73,8 +73,8 @@ def _companies(entries: Column) -> Column:
     return F.transform(entries, lambda c: F.struct(c["name"].alias("name"), F.array(c["source"]).alias("sources")))
 
 
-def _relations(entries: Column, kind: Column | None, named: str) -> Column:
-    """Related entries by their kind of relation, kinds in order of the alphabet."""
+def _relations(entries: Column, named: str) -> Column:
+    """Related entries with their kind of relation."""
     return F.transform(entries, lambda e: F.struct(enums.RELATION.normalise(e[named]).alias("relation"), e["title"].alias("title"), e["source"].alias("source")))
 
 
@@ -90,7 +90,7 @@ def mal_anime(df: DataFrame) -> DataFrame:
         F.coalesce(f("episode_count", "int"), F.lit(0)).alias("episode_count"), f("duration", "int").alias("duration"), f("synopsis").alias("synopsis"),
         F.when(~nothing, f("background")).alias("background"), f.array("genres").alias("genres"), f.array("themes").alias("themes"), f.array("demographics").alias("demographics"),
         *[_companies(f.array(n, "struct<name:string,source:string>")).alias(n) for n in ("producers", "licensors", "studios")],
-        _relations(F.filter(related, lambda e: e["is_anime"]), None, "relation").alias("related_anime"),
+        _relations(F.filter(related, lambda e: e["is_anime"]), "relation").alias("related_anime"),
         F.transform(F.filter(related, lambda e: ~e["is_anime"]), lambda e: F.struct(enums.MATERIAL_RELATION.normalise(e["relation"]).alias("relation"), e["title"].alias("title"), e["source"].alias("source"))).alias("related_source_material"),
         F.map_from_entries(F.transform(f.array("external_sources", "struct<name:string,source:string>"), lambda x: F.struct(F.lower(x["name"]), x["source"]))).alias("external_sources"),
         F.transform(f.array("streaming", "struct<name:string,source:string>"), lambda x: F.struct(x["name"].alias("platform"), x["source"].alias("source"))).alias("streaming_sources"),

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from catalith.operators.contracts import Condition, InvalidRequest, Range, SearchRequest, SparseVector, check_fields, conditions_from, served_limit
 from catalith.operators.filters import apply_filters, scroll
