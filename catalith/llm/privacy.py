@@ -202,7 +202,7 @@ def find_personal(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def sanitise(documents: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents with every found span replaced by its placeholder; rows of one id must hold one text."""
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pii_type"))).alias("spans")).withColumnRenamed("doc_id", "span_of")
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pii_type"))).alias("__spans")).withColumnRenamed("doc_id", "__span_of")
 
     @F.pandas_udf("string")
     def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -218,5 +218,5 @@ def sanitise(documents: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = documents.join(spans, documents[id_col] == F.col("span_of"), "left")
-    return joined.withColumn(text_col, replace(F.col(text_col), F.col("spans"))).drop("span_of", "spans")
+    joined = documents.join(spans, documents[id_col] == F.col("__span_of"), "left")
+    return joined.withColumn(text_col, replace(F.col(text_col), F.col("__spans"))).drop("__span_of", "__spans")

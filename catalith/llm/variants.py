@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people, linked by merge-and-rematch resolution.
 
 Every written name is split into forms (full name, single name, initial, pet name, epithet, kanji) whose words are
-reduced to one spelling per sound.  Words seen far more often teach the rest: a rare word within one edit (two, if
-long) of a word several times as frequent is read as that word, one used in the same group first.
+reduced to one spelling per sound.  Settled words, which groups repeat, teach the rest: an unsettled word within one edit
+(two, if long) of a settled one several times as frequent is read as that word, one used in the same group first.
 
 Full names then are blocking keys: profiles of a group that share one merge, and so do those one edit apart, unless both
 are made of well-known words.  A merged profile owns the spellings,
@@ -30,10 +30,9 @@ from catalith.functions.names import deletions, edit_distance, initial_class, na
 from catalith.llm.components import components
 from catalith.runtime import cut, require
 
-FREQUENT = 3  # uses from which a word can teach others
+SETTLED_USES, SETTLED_REPEATS = 5, 2.2  # uses, and uses a group, from which a word stands as it is and can teach others
 TEACHES = 3  # times as frequent as the word read as it
 LONG = 8  # letters from which two edits are allowed
-KNOWN_USES, KNOWN_GROUPS = 5, 2  # from which a word is taken as it stands
 EPITHET_SHARE = 0.04  # of the uses of a word after "the", from which it is no name
 
 
@@ -57,23 +56,28 @@ def _edits(word: str) -> int:
     return 2 if len(word) >= LONG else 1
 
 
+def settled() -> Column:
+    """Whether a word is a spelling people agree on: a group that has it repeats it, while a slip comes once here, once there."""
+    return (F.col("uses") >= SETTLED_USES) & (F.col("uses") >= SETTLED_REPEATS * F.col("groups"))
+
+
 def read_as(words: DataFrame) -> DataFrame:
-    """(word, as, distance, taught): frequent words a rarer word may stand for.  ``words``: (word, uses)."""
+    """(word, as, distance, taught): settled words an unsettled one may stand for.  ``words``: (word, uses, groups)."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 2_000):
-                rows = [(w, n, d) for w, n in b.iloc[k : k + 2_000].itertuples(index=False) if len(w) > 2 for d in deletions(w, _edits(w))]
-                yield pd.DataFrame(rows, columns=["word", "uses", "rest"])
+                rows = [(w, n, s, d) for w, n, s in b.iloc[k : k + 2_000].itertuples(index=False) if len(w) > 2 for d in deletions(w, _edits(w))]
+                yield pd.DataFrame(rows, columns=["word", "uses", "settled", "rest"])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             d = [edit_distance(w, a) for w, a in zip(b["word"], b["as"])]
             yield b.assign(distance=d)[[x <= min(_edits(w), _edits(a)) for x, w, a in zip(d, b["word"], b["as"])]]
 
-    rests = cut(words.select("word", "uses").mapInPandas(spread, "word string, uses bigint, rest string"))
-    teachers = rests.filter(F.col("uses") >= FREQUENT).select(F.col("word").alias("as"), F.col("uses").alias("taught"), "rest")
-    pairs = rests.join(teachers, "rest").filter(F.col("taught") >= TEACHES * F.col("uses")).select("word", "as", "taught").distinct()
+    rests = cut(words.select("word", "uses", settled().alias("settled")).mapInPandas(spread, "word string, uses bigint, settled boolean, rest string"))
+    teachers = rests.filter("settled").select(F.col("word").alias("as"), F.col("uses").alias("taught"), "rest")
+    pairs = rests.filter("not settled").join(teachers, "rest").filter(F.col("taught") >= TEACHES * F.col("uses")).select("word", "as", "taught").distinct()
     return pairs.mapInPandas(measure, "word string, as string, taught bigint, distance int")
 
 
@@ -81,7 +85,7 @@ def corrected_forms(forms: DataFrame) -> DataFrame:
     """The forms with every word read as the frequent word it stands for, and epithets told from names."""
     spelled = forms.filter("kind <> 'kanji' and kind <> 'pet'")
     words = spelled.select("g", "id", "n", "kind", F.posexplode("tokens").alias("at", "word")).filter(~((F.col("kind") == "initial") & (F.col("at") == 0)))
-    uses = cut(words.groupBy("word").agg(F.count("*").alias("uses"), F.sum((F.col("kind") == "epithet").cast("int")).alias("after_the")))
+    uses = cut(words.groupBy("word").agg(F.count("*").alias("uses"), F.count_distinct("g").alias("groups"), F.sum((F.col("kind") == "epithet").cast("int")).alias("after_the")))
     local = words.groupBy("g", "word").agg(F.count("*").alias("here"))
     offers = local.join(read_as(uses), "word").join(local.select("g", F.col("word").alias("as"), F.col("here").alias("as_here")), ["g", "as"], "left")
     chosen = offers.groupBy("g", "word").agg(F.max_by("as", F.struct(F.coalesce("as_here", F.lit(0)) > 0, -F.col("distance"), F.coalesce("as_here", F.lit(0)), "taught", "as")).alias("as"))
@@ -104,7 +108,7 @@ def misspelt_links(forms: DataFrame) -> DataFrame:
     """
     full = forms.filter("kind = 'name' and size(tokens) = 2")
     words = full.select("g", F.explode("tokens").alias("word"))
-    known = words.groupBy("word").agg(F.count("*").alias("uses"), F.count_distinct("g").alias("groups")).filter((F.col("uses") >= KNOWN_USES) & (F.col("groups") >= KNOWN_GROUPS))
+    known = words.groupBy("word").agg(F.count("*").alias("uses"), F.count_distinct("g").alias("groups")).filter(settled())
     each = full.select("g", "id", F.array_join(F.array_sort("tokens"), "").alias("name"), F.explode("tokens").alias("word"))
     names = each.join(known.select("word", F.lit(True).alias("known")), "word", "left").groupBy("g", "id", "name").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("clean"))
 
