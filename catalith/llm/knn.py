@@ -10,12 +10,12 @@ a query always ends with k vectors if there are so many.  The half-width for a r
 the projected difference of two vectors at distance R has a deviation of about R / sqrt(dim) on each direction.
 
 Points and queries are cut into blocks of bounded size by a hash of their ids; one task handles one pair of blocks, so
-no id, however often it repeats, makes a task larger.  Each pair gives at most k rows a query and a window keeps the
-best k of all blocks.
+no id, however often it repeats, makes a task larger.  Each pair gives at most k points a query; a point found in
+several blocks keeps its best similarity before a window takes the best k of all blocks.
 
 Cases: vectors that are null, all zero, of another length or not finite neither ask nor answer.  A point with several
 vectors counts by its best one.  Equal similarities go to the smaller id.  Fewer than k usable points give fewer rows,
-no usable point or query an empty table.  Repeated query ids are answered once per distinct row of the input.
+no usable point or query an empty table.  A repeated query id is answered once, by the best of its vectors.
 """
 
 from __future__ import annotations
@@ -104,6 +104,13 @@ def block_neighbours(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k
         first = np.minimum(low, n - 1) * 256 // n
         return first.astype(np.uint8), np.maximum(np.maximum(high - 1, 0) * 256 // n - first, 0).astype(np.uint8)
 
+    def ranked(found: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors by exact similarity, their similarities, and where the k best points have their best vector."""
+        similar = np.round(points[found].astype(np.float64) @ query, 12)
+        best = np.lexsort((ids[found], -similar))
+        _, first = np.unique(ids[found[best]], return_index=True)
+        return found[best], similar[best], np.sort(first)[:k]
+
     results: list = []
     for q in range(len(queries)):
         radius, done = FIRST_RADIUS, False
@@ -121,14 +128,13 @@ def block_neighbours(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k
             if len(found) < k and not done:
                 radius *= WIDEN
                 continue
-            rough = points[found] @ queries[q]
-            if len(found) > 8 * k:  # enough for k points of several vectors each; ties at the cut stay
+            whole = found
+            if len(found) > 8 * k:  # mostly enough for k points of several vectors each; ties at the cut stay
+                rough = points[found] @ queries[q]
                 found = found[rough >= np.partition(rough, len(found) - 8 * k)[len(found) - 8 * k] - 1e-5]
-            similar = np.round(points[found].astype(np.float64) @ exact[q], 12)
-            best = np.lexsort((ids[found], -similar))
-            found, similar = found[best], similar[best]
-            _, first = np.unique(ids[found], return_index=True)
-            first = np.sort(first)[:k]
+            found, similar, first = ranked(found, exact[q])
+            if len(first) < k and len(found) < len(whole):  # a few points of very many vectors took the places
+                found, similar, first = ranked(whole, exact[q])
             if len(first) < k:
                 radius *= WIDEN
                 continue
@@ -166,6 +172,7 @@ def most_similar(points: DataFrame, queries: DataFrame, dim: int, k: int = 10) -
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.string()), "similarity": pa.array(cols[2], pa.float64())})
 
     near = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInArrow(search, "query_id bigint, id string, similarity double")
+    near = near.repartition("query_id").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
 

@@ -44,3 +44,22 @@ def test_unusable_vectors_ties_and_several_vectors(spark):
     three = [r["id"] for r in knn.most_similar(flat, queries, 2, k=10).orderBy(F.desc("similarity"), "id").collect()]
     assert three == ["a", "b", "c"]
     assert knn.most_similar(flat.limit(0), queries, 2).count() == 0 and knn.most_similar(flat, queries.limit(0), 2).count() == 0
+
+
+def test_points_of_several_vectors_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "POINT_BLOCK", 100)
+    rng = np.random.default_rng(2)
+    points = [(f"p{i:03d}", (x + 0.05 * rng.standard_normal(16)).tolist()) for i, x in enumerate(rng.standard_normal((150, 16))) for _ in range(4)]
+    queries = [(i, rng.standard_normal(16).tolist()) for i in range(30)] * 2
+    rows = knn.most_similar(spark.createDataFrame(points, "id string, vec array<float>"), spark.createDataFrame(queries, "query_id bigint, vec array<float>"), 16).collect()
+    f32 = lambda rows: [(i, np.asarray(v, np.float32).astype(float)) for i, v in rows]
+    want = exact(f32(points), f32(queries), 10)
+    got = {(r["query_id"], r["id"]) for r in rows}
+    assert len(rows) == len(got) == 300 and len(got & {(q, i) for q, best in want.items() for i in best}) >= 0.97 * 300
+
+
+def test_a_point_of_very_many_vectors_hides_no_other():
+    points = np.concatenate([np.tile([1.0, 0.0], (500, 1)), [[0.0, 1.0], [0.6, 0.8]]]).astype(np.float32)
+    ids = np.asarray(["many"] * 500 + ["b", "c"], object)
+    ((near, _),) = knn.block_neighbours(points, ids, np.asarray([[1.0, 0.0]], np.float32), 3, np.zeros(2, np.float32), np.eye(2, dtype=np.float32))
+    assert near.tolist() == ["many", "c", "b"]
