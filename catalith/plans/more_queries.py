@@ -85,7 +85,7 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 1000")
+    c = table(spark, sf_dir, "customer")
     points = c.select(F.col("c_custkey").alias("point_id"), F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias("payload"))
     updates = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("point_id"), F.create_map(F.lit("segment"), F.lit("NEW"), F.lit("tier"), F.lit("gold")).alias("payload"), F.lit(1).alias("pos"))
     merged = tables.update_payload(points, updates)
