@@ -68,10 +68,18 @@ def related_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' nations and their regions as a graph, three hops from a region."""
-    n = table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1_000_000).cast("bigint").alias("src"), (F.col("n_nationkey") + 100_000).cast("bigint").alias("dst"))
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 100000").select((F.col("c_nationkey") + 100_000).cast("bigint").alias("src"), F.col("c_custkey").cast("bigint").alias("dst"))
-    return joins.k_hop(n.unionByName(c), [1_000_001], 3)
+    """Customers' nations and their regions as a graph, three hops from a region.
+
+    In the graph nations have odd and regions even negative numbers, so no customer's key is taken for one of them.  The
+    result numbers them from 100,000 and 1,000,000; where a customer has that number too, the hop tells them apart.
+    """
+    nation = lambda key: (-2 * F.col(key).cast("bigint") - 1)
+    region = lambda key: (-2 * F.col(key).cast("bigint") - 2)
+    n = table(spark, sf_dir, "nation").select(region("n_regionkey").alias("src"), nation("n_nationkey").alias("dst"))
+    c = table(spark, sf_dir, "customer").select(nation("c_nationkey").alias("src"), F.col("c_custkey").cast("bigint").alias("dst"))
+    found = joins.k_hop(n.unionByName(c), [-4], 3)  # region 1
+    number = F.when(F.col("node") >= 0, F.col("node")).when(F.col("node") % 2 == 0, 1_000_000 - F.col("node") / 2 - 1).otherwise(100_000 - (F.col("node") + 1) / 2)
+    return found.select(number.cast("bigint").alias("node"), "hop")
 
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
