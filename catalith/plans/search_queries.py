@@ -83,8 +83,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"), F.col("p_partkey").alias("pos"))
-    first = items.orderBy("p_partkey").limit(200)
-    return rerank(first, "green blue small part", overlap_pairs, k=20).select("p_partkey", F.round("reranking_score", 6).alias("score"))
+    return rerank(items, "green blue small part", overlap_pairs, k=20).select("p_partkey", F.round("reranking_score", 6).alias("score"))
 
 
 def filter_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
