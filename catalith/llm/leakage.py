@@ -1,10 +1,11 @@
 """Passages of evaluation items found in a training corpus, also cut, altered or rearranged.
 
-Rare n-grams of the items are seeds: those that stand in few items, so neither task wording nor phrases the items share.
-A bitmap of fixed size over the seeds' hashes goes to all executors, and a document gives only the n-grams that hit it;
-those are joined with the seeds themselves, so the bitmap decides nothing.  A document and an item with enough seeds
-near each other are aligned by Smith-Waterman over words, where a word with a typo counts as nearly the same.  Further
-alignments of the words left over are added, which finds passages in another order.
+Seeds are three words of an item, in order and with up to ``APART - 1`` words left open between two of them; words of a
+document stand for item words also with a typo.  Every agreeing word of an alignment that counts stands in such a seed,
+so an item whose seeds in a document cover too few of its words to make a case is passed over and no case is lost.  The
+seeds go to all executors.  Around those of its seeds that hold own words, an item is aligned by Smith-Waterman over
+words, where a word with a typo counts as nearly the same.  Further alignments of the words left over are added, which
+finds passages in another order.
 
 An alignment counts only if it carries words of the item's own: a word is shared where it stands in an n-gram of many
 items.  A pair is a case if the counted alignments span at least ``STRETCH`` words of the item (or its whole passage, if
@@ -12,7 +13,7 @@ shorter) and most of these agree.
 
 Cases: null and empty texts match nothing; markup is left out; case, accents and punctuation make no difference;
 copies of a document count each; an item twice under two ids is found under both; documents of any length are read
-whole, in windows around their seeds; an empty table gives an empty result.
+whole, in windows around their seeds; items of under three words are looked for by each word; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,17 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.names import deletions, edit_distance
-from catalith.runtime import cut, require
+from catalith.runtime import require
 
-N = 3  # words of a seed
-RARE = 2  # items a seed may stand in
-SEEDS = 3  # distinct seeds a document must share with an item, within reach of each other
+N = 3  # words of an n-gram
 SHARED = 0.02  # of the items (and three at least) from which an n-gram is common wording
 STRETCH, AGREED = 15, 12  # words of the item spanned, and of these agreeing
 OWN_SHARE, OWN_LEAST, PART_LEAST, PART_AGREED = 0.7, 2, 5, 0.75
 MATCH, NEAR, MISS, GAP = 1.0, 0.8, -1.2, -0.9
-BITS = 1 << 24
 MOST_PARTS, APART = 8, 4
+PAIRS = 1 << 22  # places of the table that sorts out pairs of words no seed begins or ends with
+MOST_KNOWN, AT_ONCE = 200_000, 20_000  # words of documents a task remembers, and looks up together, about
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:[-'’][^\W_]+)*")
 
 
@@ -53,11 +52,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(plain.replace("’", "'"))
 
 
-def seed_hash(gram: tuple[str, ...]) -> int:
-    a, b = " ".join(gram).encode(), "\x00".join(reversed(gram)).encode()
-    return (zlib.crc32(a) << 31) ^ zlib.crc32(b)
-
-
 def grams(ws: list[str], n: int = N) -> list[tuple[str, ...]]:
     return list(zip(*[ws[i:] for i in range(n)]))
 
@@ -77,12 +71,24 @@ class Item(NamedTuple):
     near: dict[str, list[str]]  # words of the item by what is left of them without a letter or two
 
 
-def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item], list[tuple[int, int]]]:
-    """The items made ready, and the (hash, item_id) seeds."""
+class Index(NamedTuple):
+    items: list[Item]
+    ids: dict[str, int]  # of the words of all items
+    near: dict[str, list[str]]  # words of all items by what is left of them without a letter or two
+    pairs: np.ndarray  # whether a hashed pair of words stands in a seed
+    seeds: np.ndarray  # keys in order; of each, where it stands is in ``places`` from ``first`` on
+    first: np.ndarray
+    places: np.ndarray  # of the three words among those of all items
+    starts: np.ndarray  # where an item's words begin among those of all items, and their end
+    own: np.ndarray
+
+
+def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item], Index]:
+    """The items made ready, and the index of their seeds."""
     split = {i: words(t) for i, t in rows if t}
     df = Counter(g for ws in split.values() for g in {g for _, g in patterns(ws)})
     common = max(3, SHARED * len(split))
-    items, seeds = {}, []
+    items: dict[int, Item] = {}
     for i, ws in split.items():
         own = np.ones(len(ws), bool)
         for places, g in patterns(ws):
@@ -94,8 +100,138 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item],
                 for d in deletions(w, 1 if len(w) < 8 else 2):
                     near[d].append(w)
         items[i] = Item(i, ws, own, dict(near))
-        seeds += [(seed_hash(g), i) for g in set(grams(ws)) if df[g] <= RARE]
-    return items, seeds
+    ready = list(items.values())
+    ids = {w: k for k, w in enumerate(dict.fromkeys(w for item in ready for w in item.words))}
+    left: dict[str, set[str]] = defaultdict(set)
+    for item in ready:
+        for d, ws in item.near.items():
+            left[d].update(ws)
+    starts = np.cumsum([0, *(len(item.words) for item in ready)])
+    own = np.concatenate([np.zeros(0, bool), *(item.own for item in ready)])
+    keys, places, pairs = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)], np.zeros(PAIRS, bool)
+    for start, item in zip(starts, ready):
+        x = np.array([ids[w] for w in item.words], np.int64)
+        for d in range(1, APART + 1):
+            for e in range(d + 1, d + APART + 1):
+                at = np.arange(max(0, len(x) - e))
+                a, b, c = x[at], x[at + d], x[at + e]
+                pairs[(a * len(ids) + b) % PAIRS] = pairs[(b * len(ids) + c) % PAIRS] = True
+                keys.append((a * len(ids) + b) * len(ids) + c)
+                places.append(start + np.stack([at, at + d, at + e], axis=1))
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    seeds, first = np.unique(key[order], return_index=True)
+    return items, Index(ready, ids, {d: sorted(ws) for d, ws in left.items()}, pairs, seeds, np.append(first, len(key)), np.concatenate(places)[order], starts, own)
+
+
+def alike(index: Index, w: str) -> list[int]:
+    """The item words a word may stand for."""
+    found = {w} & index.ids.keys()
+    if len(w) > 4:
+        most = 1 if len(w) < 8 else 2
+        like = {v for d in deletions(w, most) for v in index.near.get(d, ())} - found
+        found |= {v for v in like if edit_distance(w, v, most) <= most}
+    return [index.ids[v] for v in found]
+
+
+def follow(count: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, place) for each of the count[k] places from begin[k] on."""
+    k = np.repeat(np.arange(len(count)), count)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count) + begin[k]
+
+
+def supported(index: Index, places: np.ndarray, where: np.ndarray, n: int) -> list[int]:
+    """Where seeds with own words begin that have n agreeing words about them, as close as the words of a part are."""
+    far = (n - 1) * APART
+    out: dict[int, None] = {}
+    low, high = np.searchsorted(where, where - far), np.searchsorted(where, where + far, "right")
+    for k in np.flatnonzero(index.own[places].any(axis=1)).tolist():
+        t = int(where[k])
+        if t not in out:
+            about = places[low[k] : high[k]]
+            about = about[(about[:, 0] >= places[k, 0] - far) & (about[:, 0] <= places[k, 0] + far)]
+            if len(set(about.ravel().tolist())) >= n:
+                out[t] = None
+    return list(out)
+
+
+def seeded(index: Index, docs: list[list[str]], known: dict[str, list[int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Windows around seeds with own words, by (document, place of the item), where the item's seeds cover words enough for a case.
+
+    ``known`` remembers what words stand for.
+    """
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    begins = np.cumsum([0, *(len(ws) + APART for ws in docs)])
+    at: list[int] = []
+    word: list[int] = []
+    for begin, ws in zip(begins.tolist(), docs):
+        for p, w in enumerate(ws, begin):
+            if w not in known:
+                known[w] = alike(index, w)
+            for v in known[w]:
+                at.append(p)
+                word.append(v)
+    p, x, n = np.array(at, np.int64), np.array(word, np.int64), len(index.ids)
+    low = np.searchsorted(p, p + 1)
+    a, b = follow(np.searchsorted(p, p + APART, "right") - low, low)
+    good = index.pairs[(x[a] * n + x[b]) % PAIRS]
+    a, b = a[good], b[good]
+    low = np.searchsorted(a, b)
+    ab, bc = follow(np.searchsorted(a, b, "right") - low, low)
+    key = (x[a[ab]] * n + x[b[ab]]) * n + x[b[bc]]
+    seed = np.searchsorted(index.seeds, key)
+    good = np.flatnonzero(np.append(index.seeds, -1)[seed] == key)
+    begin = p[a[ab[good]]]
+    ends = np.searchsorted(begin, begins)
+    lengths = np.diff(index.starts)
+    enough = np.minimum(AGREED, 0.8 * lengths)
+    some = np.flatnonzero(lengths)  # items of no words have no place of their own
+    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for d in np.flatnonzero(np.diff(ends)).tolist():
+        found = good[ends[d] : ends[d + 1]]
+        hit, at_place = follow(index.first[seed[found] + 1] - index.first[seed[found]], index.first[seed[found]])
+        places = index.places[at_place]
+        covered = np.zeros(len(index.own), bool)
+        covered[places] = True
+        likely = some[(np.add.reduceat(covered, index.starts[some], dtype=int) >= enough[some]) & (np.add.reduceat(covered & index.own, index.starts[some], dtype=int) >= OWN_LEAST)]
+        for k in likely.tolist():
+            low, high = index.starts[k], index.starts[k + 1]
+            if reachable_words(index.items[k], covered[low:high]) >= enough[k]:
+                mine = (places[:, 0] >= low) & (places[:, 0] < high)
+                words_hit, where = places[mine], begin[ends[d] : ends[d + 1]][hit[mine]] - begins[d]
+                for x, y in windows(supported(index, words_hit, where, least(index.items[k])[0]), int(lengths[k]), len(docs[d])):
+                    inside = np.zeros(lengths[k], bool)
+                    inside[words_hit[(where >= x) & (where < y)] - low] = True
+                    if reachable_words(index.items[k], inside) >= enough[k]:
+                        out[d, k].append((x, y))
+    for k, item in enumerate(index.items):
+        if 0 < len(item.words) < 3:
+            wanted = {index.ids[w] for w in item.words}
+            for d, ws in enumerate(docs):
+                if t := [t for t, w in enumerate(ws) if wanted.intersection(known[w])]:
+                    out[d, k] = windows(t, len(item.words), len(ws))
+    return out
+
+
+def least(item: Item) -> tuple[int, int]:
+    """Words of a part, and own words of it, at least."""
+    return min(PART_LEAST, len(item.words)), min(OWN_LEAST, len(item.words))
+
+
+def reachable_words(item: Item, hit: np.ndarray) -> int:
+    """How many of the item's words that are hit lie in stretches that could be parts: no case has more agreeing words."""
+    at = np.flatnonzero(hit)
+    n, own_least = least(item)
+    if len(at) < n:
+        return 0
+    own, own_hit = (np.concatenate([[0], np.cumsum(x)]) for x in (item.own, item.own & hit))
+    k = np.arange(len(at))
+    first, last = at[:, None], at[None, :] + 1
+    part = k[None, :] - k[:, None] + 1 >= np.maximum(n, PART_AGREED * (last - first))
+    part &= own_hit[last] - own_hit[first] >= np.maximum(own_least, OWN_SHARE * (own[last] - own[first]))
+    ends = np.maximum.accumulate(np.where(part, k[None, :], -1).max(axis=1))  # of the stretches begun so far
+    return int((ends >= k).sum())
 
 
 def score_matrix(item: Item, doc: list[str]) -> np.ndarray:
@@ -154,17 +290,20 @@ def parts(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 def judge(item: Item, doc: list[str]) -> tuple[int, int]:
     """(words of the item spanned, words agreeing) of the alignments that count, in one window of a document."""
     s = score_matrix(item, doc)
+    if reachable_words(item, (s > 0).any(axis=1)) < min(AGREED, 0.8 * len(item.words)):
+        return 0, 0  # too few to make a case
+    n, own_least = least(item)
     spanned = agreed = 0
     for _ in range(MOST_PARTS):
         pairs, score = local_alignment(s)
-        if score < PART_LEAST - 1:
+        if score <= 0 or score < n - 1:
             break
         hits = [(a, b) for a, b in pairs if s[a, b] > 0]
         for part in parts(hits):
             first, last = part[0][0], part[-1][0]
             own = item.own[first : last + 1].sum()
             own_hits = sum(bool(item.own[a]) for a, _ in part)
-            if len(part) >= max(PART_LEAST, PART_AGREED * (last - first + 1)) and own_hits >= max(OWN_LEAST, OWN_SHARE * own):
+            if len(part) >= max(n, PART_AGREED * (last - first + 1)) and own_hits >= max(own_least, OWN_SHARE * own):
                 spanned += last - first + 1
                 agreed += len(part)
         for a, b in hits:
@@ -190,6 +329,15 @@ def windows(at: list[int], size: int, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def cases(index: Index, docs: list[list[str]], known: dict[str, list[int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item_id, spanned, agreed) of the words of some documents."""
+    for (d, k), around in seeded(index, docs, known).items():
+        item, ws = index.items[k], docs[d]
+        best = max((judge(item, ws[x:y]) for x, y in around), key=lambda r: (is_case(item, *r), r))
+        if is_case(item, *best):
+            yield d, item.item_id, int(best[0]), int(best[1])
+
+
 def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, spanned, agreed): the documents that hold a passage of an item.
 
@@ -198,42 +346,19 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     require(documents, id_col, text_col)
     require(items, "item_id", "text")
     spark = documents.sparkSession
-    ready, seeds = prepare_items([(int(r["item_id"]), r["text"]) for r in items.select("item_id", "text").filter("item_id is not null").collect()])
-    bits = np.zeros(BITS // 8, np.uint8)
-    for h, _ in seeds:
-        bits[(h % BITS) >> 3] |= 1 << (h % BITS & 7)
-    sent = spark.sparkContext.broadcast((bits, ready))
-
-    def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, _ = sent.value
-        for b in batches:
-            rows = []
-            for i, t in zip(b["id"], b["text"]):
-                for at, g in enumerate(grams(words(t))):
-                    h = seed_hash(g)
-                    if bits[(h % BITS) >> 3] >> (h % BITS & 7) & 1:
-                        rows.append((i, h, at))
-            yield pd.DataFrame(rows, columns=["id", "seed", "at"])
-
-    texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    table = spark.createDataFrame(pd.DataFrame(seeds, columns=["seed", "item_id"]), "seed bigint, item_id bigint")
-    hits = texts.mapInPandas(seeded, "id bigint, seed bigint, at int").join(table, "seed")
-    near = hits.groupBy("id", "item_id").agg(F.count_distinct("seed").alias("seeds"), F.collect_list("at").alias("at")).filter(F.col("seeds") >= SEEDS)
-    found = cut(near.groupBy("id").agg(F.collect_list(F.struct("item_id", "at")).alias("items")))
+    _, index = prepare_items([(int(r["item_id"]), r["text"]) for r in items.select("item_id", "text").filter("item_id is not null").collect()])
+    sent = spark.sparkContext.broadcast(index)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, ready = sent.value
+        known: dict[str, list[int]] = {}
         for b in batches:
+            split = [words(t) for t in b["text"]]
+            chunk = np.cumsum([len(ws) for ws in split]) // AT_ONCE
             rows = []
-            for i, text, candidates in zip(b["id"], b["text"], b["items"]):
-                ws = words(text)
-                for c in candidates:
-                    item = ready[c["item_id"]]
-                    at = sorted({int(a) for a in c["at"]})
-                    near = [(x, y) for x, y in windows(at, len(item.words), len(ws)) if sum(x <= a < y for a in at) >= SEEDS]
-                    best = max((judge(item, ws[x:y]) for x, y in near), key=lambda r: (is_case(item, *r), r), default=(0, 0))
-                    if is_case(item, *best):
-                        rows.append((i, item.item_id, int(best[0]), int(best[1])))
+            for c in np.unique(chunk):
+                at = np.flatnonzero(chunk == c)
+                rows += [(b["id"].iloc[at[d]], *case) for d, *case in cases(sent.value, [split[k] for k in at], known)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "spanned", "agreed"])
 
-    return texts.join(found, "id").mapInPandas(align, "doc_id bigint, item_id bigint, spanned int, agreed int").distinct()
+    texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    return texts.mapInPandas(align, "doc_id bigint, item_id bigint, spanned int, agreed int").distinct()

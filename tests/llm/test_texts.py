@@ -124,3 +124,26 @@ def test_sanitised(spark):
     out = {r["doc_id"]: r["text"] for r in privacy.sanitise(docs, privacy.find_personal(docs)).collect()}
     assert out == {1: "Mail me at [EMAIL], says my neighbour [NAME].", 2: None, 3: "", 4: "Nothing here.", 5: "Text [PHONE] or [PHONE]!"}
     assert privacy.find_personal(docs.limit(0)).count() == 0
+
+
+KEEPERS = "amber harbour keepers quietly polish seven copper lanterns before winter sailors reach their frozen island"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "amber harbour keepers quitly polish seven copper lantrns before winter sailrs reach their frozn island",  # two whole 3-grams
+        "amber harbour keeprs quietly polish sevven copper lanterns befoore winter sailors reeach their frozen islannd",  # none
+        "amber harbour so keepers quietly um polish seven er copper lanterns well before winter oh sailors reach ah their frozen island",
+    ],
+)
+def test_leaks_without_whole_seeds(spark, text):
+    docs = spark.createDataFrame([(1, f"{FILLER} {text} {FILLER}"), (2, "amber harbour keepers quietly polish " + FILLER)], "doc_id bigint, text string")
+    evaluation = spark.createDataFrame([*items(), (200, f"{KEEPERS} while nobody writes down which morning tide carried our grandmother northwards")], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, evaluation).collect()] == [(1, 200)]
+
+
+def test_leaks_of_very_short_items(spark):
+    docs = spark.createDataFrame([(1, f"{FILLER} Crimson walrus dances tonight. {FILLER}"), (2, FILLER), (3, "Zanzibar!")], "doc_id bigint, text string")
+    evaluation = spark.createDataFrame([*items(), (200, "crimson walrus dances tonight"), (201, "Zanzibar"), (202, "..."), (203, None)], "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, evaluation).collect()) == [(1, 200), (3, 201)]
