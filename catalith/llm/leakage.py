@@ -8,12 +8,13 @@ words, where a word with a typo counts as nearly the same.  Further alignments o
 finds passages in another order.
 
 An alignment counts only if it carries words of the item's own: a word is shared where it stands in an n-gram of many
-items.  A pair is a case if the counted alignments span at least ``STRETCH`` words of the item (or its whole passage, if
-shorter) and most of these agree.
+items; items that repeat one another, wholly or for the most part, count as one there.  A pair is a case if the counted
+alignments span at least ``STRETCH`` words of the item (or its whole passage, if shorter) and most of these agree.
 
 Cases: null and empty texts match nothing; markup is left out; case, accents and punctuation make no difference;
-copies of a document count each; an item twice under two ids is found under both; documents of any length are read
-whole, in windows around their seeds; items of under three words are looked for by each word; an empty table gives an empty result.
+copies of a document count each; an item under several ids, or a passage that makes up most of several items, is found
+under each; documents of any length are read whole, in windows around their seeds; items of under three words are looked
+for by each word; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from catalith.functions.names import deletions, edit_distance
 from catalith.runtime import require
 
 N = 3  # words of an n-gram
+REPEATED = 0.6  # of the n-grams of the shorter of two items from which they count as one where wording is counted
 SHARED = 0.02  # of the items (and three at least) from which an n-gram is common wording
 STRETCH, AGREED = 15, 12  # words of the item spanned, and of these agreeing
 OWN_SHARE, OWN_LEAST, PART_LEAST, PART_AGREED = 0.7, 2, 5, 0.75
@@ -83,11 +85,29 @@ class Index(NamedTuple):
     own: np.ndarray
 
 
+def repeated(split: dict[int, list[str]]) -> list[list[int]]:
+    """The items in groups of those that repeat one another, wholly or for the most part."""
+    held = {i: set(grams(ws)) or {tuple(ws)} for i, ws in split.items()}
+    holders: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for i, gs in held.items():
+        for g in gs:
+            holders[g].append(i)
+    group = {i: [i] for i in split}
+    for i, gs in held.items():
+        for j, n in Counter(j for g in gs for j in holders[g] if j < i).items():
+            if n >= REPEATED * min(len(gs), len(held[j])) and group[i] is not group[j]:
+                group[j] += group[i]
+                for k in group[i]:
+                    group[k] = group[j]
+    return list({id(members): members for members in group.values()}.values())
+
+
 def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item], Index]:
     """The items made ready, and the index of their seeds."""
     split = {i: words(t) for i, t in rows if t}
-    df = Counter(g for ws in split.values() for g in {g for _, g in patterns(ws)})
-    common = max(3, SHARED * len(split))
+    groups = repeated(split)
+    df = Counter(g for group in groups for g in {g for i in group for _, g in patterns(split[i])})
+    common = max(3, SHARED * len(groups))
     items: dict[int, Item] = {}
     for i, ws in split.items():
         own = np.ones(len(ws), bool)

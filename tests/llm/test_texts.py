@@ -147,3 +147,11 @@ def test_leaks_of_very_short_items(spark):
     docs = spark.createDataFrame([(1, f"{FILLER} Crimson walrus dances tonight. {FILLER}"), (2, FILLER), (3, "Zanzibar!")], "doc_id bigint, text string")
     evaluation = spark.createDataFrame([*items(), (200, "crimson walrus dances tonight"), (201, "Zanzibar"), (202, "..."), (203, None)], "item_id bigint, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, evaluation).collect()) == [(1, 200), (3, 201)]
+
+
+def test_leaks_of_repeated_items(spark):
+    passage = f"{KEEPERS} while nobody writes down which morning tide carried our grandmother northwards"
+    repeats = [(200, passage), (201, passage), (202, passage), (203, passage.replace("copper", "brazen")), (204, f"{passage} Who polished lanterns?"), (205, f"{passage} When did anybody leave, and why?")]
+    docs = spark.createDataFrame([(1, f"{FILLER} {passage} {FILLER}"), (2, FILLER)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, spark.createDataFrame([*items(), *repeats], "item_id bigint, text string")).collect())
+    assert got == [(1, i) for i in range(200, 206)]
