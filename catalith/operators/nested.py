@@ -6,8 +6,8 @@ and a table is all nodes of one schema path: no join and no shuffle is needed to
 
 Sources write one thing in many shapes, so the walk is told by ``Layout`` which fields repeat.  A single object or
 scalar stands for a list of one, an object whose keys are all numbers for the list of its values, JSON inside a string
-for what it holds; envelopes (``data``) and blocks (an item that only carries the next level of the same field) are
-looked through, and ordinals run on over them.  Null items are no entities.
+for what it holds; envelopes (``data``), objects wrapped around repeated fields at any level, and blocks (an item that
+only carries the next level of the same field) are looked through, and ordinals run on over them.  Null items are no entities.
 
 Cases: a payload that is null, blank or not whole JSON gives no row at all (``corrupt`` counts them); an empty object
 gives only its root row; a byte order mark is ignored; blank strings are kept as values; repeated documents give
@@ -112,7 +112,7 @@ class _Walk:
                     for y in _items(v, repeats[k].split):
                         self.entity(y, repeats[k], path, label, k)
                 elif isinstance(v, (dict, list)):
-                    self.fields(v, repeats if not label else {}, path, label, values, f"{prefix}{k}.")
+                    self.fields(v, repeats if isinstance(v, dict) else {}, path, label, values, f"{prefix}{k}.")
                 else:
                     values[prefix + k] = _scalar(v)
         elif isinstance(x, list):

@@ -1,11 +1,16 @@
 """Air times of many hands, formats and zones, normalised to one unambiguous form.
 
-Every text is turned into the array of all its valid interpretations.  Where a text has several, a Viterbi path over
-the record order of its source picks one: leaving the source's declared date order costs most, changing the format
-from one record to the next costs, and so does a jump back in time.  The path is exact and distributed: records are
-range-partitioned by (source, order), every partition reduces each of its source runs to a small cost matrix between
-the run's first and last interpretations, the driver joins those matrices (one per partition and source), and each
-partition then traces its own part of the path back.  No task ever holds a whole source.
+Every text is turned into the array of all its valid interpretations.  A Viterbi path over the record order of its
+source picks one.  A state of the path is an interpretation together with the date order (day or month first) the
+source writes in at that record: texts that can only be read one way show the order, and it is carried over records
+that do not show it.  A change of that order costs most, a change of format from one record to the next and a jump
+back in time cost less.  The order a source declares is a prior and no more: reading a record against it costs
+``DECLARED_COST``, which a few records that contradict the declaration outweigh.
+
+The path is exact and distributed: records are range-partitioned by (source, order), every partition reduces each of
+its source runs to a small cost matrix between the run's first and last states, the driver joins those matrices (one
+per partition and source), and each partition then traces its own part of the path back.  Partitions hold about
+``ROWS`` records, however many a source has.
 
 Cases: null, blank or meaningless texts, incomplete dates and dates that do not exist have no interpretation and give
 no row.  A local time skipped by a change to summer time gives status ``gap``; one that occurred twice and carries no
@@ -17,6 +22,7 @@ Repeated rows are kept.  Columns other than the named ones are ignored, whatever
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -89,7 +95,9 @@ SHAPES = [
 ]
 EPOCH_RANGE = (-315_619_200, 4_102_444_800)  # seconds: the years 1960 to 2100, in which a bare number may be an epoch
 LATE_NIGHT = 30  # broadcast clocks run on to 29:59
-DECLARED_COST = 8.0  # for leaving the source's declared date order
+SWITCH_COST = 3.0  # for changing the date order from one record to the next
+DECLARED_COST = 1.0  # for reading a record against the source's declared date order
+ROWS = 200_000  # records of a partition, about
 FORMAT_COST = 1.0  # for changing the format from one record to the next
 BACKWARD_COST = 1.0  # for a jump back in time of more than BACKWARD_DAYS
 BACKWARD_DAYS = 1
@@ -210,7 +218,7 @@ def _instant(local: dt.datetime, g: dict[str, str | None], zone: str | None) ->
 
 def interpretations(text: str | None, zone: str | None, order: str | None) -> list[Interpretation]:
     """All valid interpretations of one air text; the cheapest first, then in the order tried."""
-    if text is None or len(text) > 200:  # no form of a time is that long
+    if text is None:
         return []
     t = " ".join(unicodedata.normalize("NFKC", text).split())
     if not t or not any(c.isdigit() for c in t):
@@ -240,9 +248,23 @@ def interpretations(text: str | None, zone: str | None, order: str | None) -> li
     return sorted(out, key=lambda c: c[1])
 
 
-def step_cost(a: dict, b: dict) -> float:
-    """Cost of going from one record's interpretation to the next one's."""
-    return FORMAT_COST * (a["fmt"] != b["fmt"]) + BACKWARD_COST * (b["at"] < a["at"] - BACKWARD_DAYS * 86_400_000)
+#: position of the interpretation, date order, format, instant, cost
+State = tuple[int, str, str, int, float]
+DATE_ORDERS = {"dmy": "dmy", "mdy": "mdy", "compact_dmy": "dmy", "compact_mdy": "mdy"}  # the order a format shows
+
+
+def states(candidates: list[dict]) -> list[State]:
+    """The interpretations of a record, each under every date order its source may be writing in."""
+    out: list[State] = []
+    for k, c in enumerate(candidates):
+        shown = DATE_ORDERS.get(c["fmt"])
+        out += [(k, order, c["fmt"], int(c["at"]), float(c["cost"])) for order in ((shown,) if shown else ("dmy", "mdy"))]
+    return out
+
+
+def step_cost(a: State, b: State) -> float:
+    """Cost of going from one record's state to the next one's."""
+    return SWITCH_COST * (a[1] != b[1]) + FORMAT_COST * (a[2] != b[2]) + BACKWARD_COST * (b[3] < a[3] - BACKWARD_DAYS * 86_400_000)
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[pd.Series]]]:
@@ -255,20 +277,19 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[pd
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each source run of the partition: its first and last interpretations and the least costs between them."""
+    """Of each source run of the partition: its first and last states and the least costs between them."""
     out = []
     for source, run in _runs(batches):
         first = last = cost = block = None
         for r in run:
-            now = list(r.candidates)
+            now = states(r.candidates)
             if first is None:
-                block, first, cost = r.block, now, [[c["cost"] if i == j else float("inf") for j, c in enumerate(now)] for i in range(len(now))]
+                block, first, cost = r.block, now, [[s[4] if i == j else float("inf") for j, s in enumerate(now)] for i in range(len(now))]
             else:
-                steps = [[step_cost(a, b) + b["cost"] for b in now] for a in last]
-                cost = [[min(row[k] + steps[k][j] for k in range(len(last))) for j in range(len(now))] for row in cost]
+                steps = [[step_cost(a, b) + b[4] for b in now] for a in last]
+                cost = [[min([x + step[j] for x, step in zip(row, steps)]) for j in range(len(now))] for row in cost]
             last = now
-        pick = lambda cs: [{"fmt": c["fmt"], "at": int(c["at"])} for c in cs]
-        out.append({"source": source, "block": block, "first": pick(first), "last": pick(last), "cost": cost})
+        out.append({"source": source, "block": block, "first": [s[:4] for s in first], "last": [s[:4] for s in last], "cost": cost})
     yield pd.DataFrame(out, columns=["source", "block", "first", "last", "cost"])
 
 
@@ -299,20 +320,16 @@ def _stitch(summaries: list) -> dict[tuple[object, int], tuple[int, int]]:
     return ends
 
 
-def best_path(rows: list[list[dict]], start: int | None = None, end: int | None = None) -> list[int]:
-    """Viterbi over the interpretations of consecutive records, optionally from and to given ones."""
+def best_path(rows: list[list[State]], start: int | None = None, end: int | None = None) -> list[int]:
+    """Viterbi over the states of consecutive records, optionally from and to given ones."""
     if not rows:
         return []
-    total = [c["cost"] if start in (None, j) else float("inf") for j, c in enumerate(rows[0])]
+    total = [s[4] if start in (None, j) else float("inf") for j, s in enumerate(rows[0])]
     back: list[list[int]] = []
     for a, b in zip(rows, rows[1:]):
-        if len(a) == 1:  # a forced record: everything comes from it
-            back.append([0] * len(b))
-            total = [total[0] + step_cost(a[0], c) + c["cost"] for c in b]
-            continue
-        best = [min((total[k] + step_cost(a[k], c), k) for k in range(len(a))) for c in b]
+        best = [min([(t + step_cost(x, y), k) for k, (t, x) in enumerate(zip(total, a))]) for y in b]
         back.append([k for _, k in best])
-        total = [t + c["cost"] for (t, _), c in zip(best, b)]
+        total = [t + y[4] for (t, _), y in zip(best, b)]
     k = min(range(len(total)), key=lambda k: (total[k], k)) if end is None else end
     path = [k]
     for step in reversed(back):
@@ -321,6 +338,7 @@ def best_path(rows: list[list[dict]], start: int | None = None, end: int | None
     return path[::-1]
 
 
+STATES = "array<struct<k:int,date_order:string,fmt:string,at:bigint>>"
 OUT = "id bigint, source string, text string, fmt string, aired_norm string, status string, n_interpretations int"
 
 
@@ -340,8 +358,7 @@ def normalise_timestamps(
     ``text_cols`` with an interpretation counts.
     """
     require(records, id_col, source_col, order_col, *text_cols)
-    spark = records.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(records.sparkSession), math.ceil(records.count() / ROWS))
     wanted = records.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(source_col).alias("source"), F.col(order_col).alias("at"), F.array(*[F.col(c) for c in text_cols]).alias("texts")
     )
@@ -369,9 +386,9 @@ def normalise_timestamps(
     # One small row per partition and source comes to the driver, however many records there are.
     ends = _stitch(
         [
-            r.asDict(recursive=True)
+            {"source": r.source, "block": r.block, "first": [tuple(s) for s in r.first], "last": [tuple(s) for s in r.last], "cost": r.cost}
             for r in read.select("source", "block", "candidates")
-            .mapInPandas(_summaries, "source string, block int, first array<struct<fmt:string,at:bigint>>, last array<struct<fmt:string,at:bigint>>, cost array<array<double>>")
+            .mapInPandas(_summaries, f"source string, block int, first {STATES}, last {STATES}, cost array<array<double>>")
             .collect()
         ]
     )
@@ -380,8 +397,8 @@ def normalise_timestamps(
         for source, run in _runs(batches):
             rows = list(run)
             start, end = ends[source, rows[0].block]
-            path = best_path([list(r.candidates) for r in rows], start, end)
-            chosen = [r.candidates[k] for r, k in zip(rows, path)]
+            choices = [states(r.candidates) for r in rows]
+            chosen = [r.candidates[s[k][0]] for r, s, k in zip(rows, choices, best_path(choices, start, end))]
             yield pd.DataFrame(
                 {
                     "id": [r.id for r in rows],

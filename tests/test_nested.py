@@ -41,3 +41,9 @@ def test_labels_give_parents(spark):
 def test_repeated_documents_share_ordinals():
     rows = label_document(json.dumps([{"episodes_raw": [{"title_en": "a"}]}, {"episodes_raw": {"title_en": "b"}}]))
     assert [(at, f["title_en"]) for path, at, f in rows if path == "episode"] == [((0,), "a"), ((1,), "b")]
+
+
+def test_objects_wrapped_around_repeats_keep_their_links():
+    rows = label_document(json.dumps({"episodes_raw": [{"details": {"characters": [{"role": {"voice_actors": [{"name": "A"}, {"name": "B"}]}}], "runtime": 24}}]}))
+    assert [(path, at) for path, at, _ in rows[1:]] == [("episode", (0,)), ("episode.character", (0, 0)), ("episode.character.voice_actor", (0, 0, 0)), ("episode.character.voice_actor", (0, 0, 1))]
+    assert rows[1][2] == {"details.runtime": "24"}
