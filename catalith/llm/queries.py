@@ -12,7 +12,7 @@ from catalith.llm.leakage import leaked
 from catalith.llm.matching import match_characters
 from catalith.llm.packing import fill_report, pack
 from catalith.llm.privacy import find_personal, sanitise
-from catalith.llm.survivor import fuse
+from catalith.llm.survivor import NOTHING, fuse
 from catalith.llm.variants import link_variants, variant_pairs
 from catalith.runtime import table
 
@@ -28,6 +28,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(table(spark, sf_dir, "anime_records"), table(spark, sf_dir, "feeds")).select("anime_key", "field_name", "record_id")
 
 
+def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record whose status survives, per title."""
+    survivors = fuse(table(spark, sf_dir, "anime_records"), table(spark, sf_dir, "feeds"))
+    return survivors.filter("field_name = 'status'").select("anime_key", "record_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of profiles of one title that mean the same character."""
     pairs = variant_pairs(link_variants(table(spark, sf_dir, "character_profiles")))
@@ -71,5 +77,18 @@ def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(documents, find_personal(documents)).select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_status": p3_status, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
+SQL: dict[str, str] = {
+    # status: the most recent that says something, at equal times from the more trusted feed, then the smaller id
+    "p3_status": f"""
+        WITH several AS (SELECT anime_key FROM anime_records WHERE anime_key IS NOT NULL GROUP BY anime_key HAVING count(*) > 1),
+        said AS (
+            SELECT anime_key, record_id, coalesce(trust, 0) AS trust,
+                   CASE WHEN updated_at >= TIMESTAMP '2000-01-01' AND updated_at <= now()::TIMESTAMP THEN updated_at ELSE TIMESTAMP '1970-01-01' END AS stated
+            FROM anime_records LEFT JOIN feeds USING (feed_id)
+            WHERE anime_key IN (SELECT anime_key FROM several) AND lower(trim(regexp_replace(status, '\s+', ' ', 'g'))) NOT IN ({", ".join("'" + t.replace("'", "''") + "'" for t in NOTHING)})
+        )
+        SELECT anime_key, record_id FROM said
+        QUALIFY row_number() OVER (PARTITION BY anime_key ORDER BY stated DESC, trust DESC, record_id) = 1
+    """,
+}

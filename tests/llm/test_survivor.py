@@ -41,3 +41,31 @@ def test_votes_decide_among_equals_and_copies_count_less(spark):
     df = spark.createDataFrame(rows, "record_id bigint, anime_key bigint, feed_id int, synopsis string, status string").withColumns({"updated_at": F.lit(None).cast("timestamp"), "episodes": F.lit(None).cast("array<struct<episode_number:int,title:string,aired:string>>")})
     got = fuse(df, feeds).filter("field_name = 'synopsis'").collect()
     assert len(got) == 40 and sum(r["record_id"] % 10 < 4 for r in got) >= 38
+
+
+def _statuses(spark, claims):
+    """Records of (group, feed, status, day)."""
+    rows = [(k, g, f, status, f"2020-01-{day:02d} 00:00:00") for k, (g, f, status, day) in enumerate(claims)]
+    df = spark.createDataFrame(rows, "record_id bigint, anime_key bigint, feed_id int, status string, ts string")
+    return df.withColumns({"updated_at": F.to_timestamp("ts"), "synopsis": F.lit(None).cast("string"), "episodes": F.lit(None).cast("array<struct<episode_number:int,title:string,aired:string>>")}).drop("ts")
+
+
+def test_votes_outweigh_recency_and_copied_votes_do_not(spark):
+    """Feed 9 always comes last with a status nobody else has; feeds 1 to 4 agree, once as independent ones, once as copies."""
+    feeds = spark.createDataFrame([(i, 1) for i in range(1, 10)], "feed_id int, trust int")
+
+    def survivors(copying, **parts):
+        claims = []
+        for g in range(60):  # what the four say elsewhere: copies share the same mistakes, independent feeds make their own
+            for f in range(1, 5):
+                wrong = g % 2 == 0 if copying else g % 6 == f
+                claims.append((g, f, ("HIATUS" if copying else ("HIATUS", "CANCELLED", "ONGOING", "UPCOMING")[f - 1]) if wrong else "FINISHED", 1))
+            claims += [(g, f, "FINISHED", 3) for f in (5, 6, 7)]
+        for g in range(100, 112):
+            claims += [(g, f, "FINISHED", 2) for f in range(1, 5)] + [(g, 9, "UPCOMING", 20)]
+        got = fuse(_statuses(spark, claims), feeds, **parts).filter("anime_key >= 100 and field_name = 'status'").collect()
+        return {claims[r["record_id"]][2] for r in got}
+
+    assert survivors(copying=False) == {"FINISHED"}  # recency alone would keep feed 9's
+    assert survivors(copying=True) == {"UPCOMING"}  # four copies are hardly more than one vote
+    assert survivors(copying=True, copies=False) == {"FINISHED"}  # taken as independent they would win
