@@ -1,35 +1,48 @@
 """Personal information in free text: found, typed and replaced.
 
 Addresses of mail, telephone and identity numbers and postal addresses have forms of their own and are recognised by
-them.  Names have none: whose name it is shows in what stands around it.  So names are judged by what the corpus tells.
-A pair of words that may be a name is described by its terms (the words before and after it, and the name itself).
-Over all documents, each term's co-occurrence with protected entities is counted: mentions introduced as private
-persons or signed above an address or number are protected, those introduced as staff or characters, and the plain
-pairs nobody introduces, are not.  The disclosure of a term is its log-odds ratio of standing with a protected entity,
-that of a mention the sum over its terms; mentions above ``DISCLOSURE`` are removed, beside those introduced outright.
+them.  Names have none, and no wording that introduces them is written down here: which wordings do is learnt from the
+corpus.  A pair of words that may be a name (a mention) is described by its terms: up to three words before and after
+it, a structured item beside it standing as a sign of its kind, and the two words themselves.  Then:
+
+* a mention co-occurs with a protected entity if its document holds a structured item apart from it or one adjoins it;
+* for each term the share of its mentions that co-occur is counted, each spelling of a name once, however often it or
+  copies of its document appear; longer contexts draw on shorter ones where they are rare;
+* the disclosure of a mention is the sum of the log-odds by which the terms before it, after it and in it exceed the
+  share of all mentions; those above a threshold are protected entities themselves, and the counting is repeated
+  ``ROUNDS`` times with them in place of the structured items.
+
+Mentions above ``DISCLOSURE`` in the end are names.  The contexts learnt are then looked for in all texts once more, to
+find names typed in small letters, which are judged by the same terms.
 
 Found spans are replaced by typed placeholders, everything else stays as it is, letter by letter.
 
 Cases: null texts give no row (and stay null when sanitised); empty texts and texts without personal information stay
 unchanged; where kinds overlap, mail holds before postal addresses and these before numbers, of numbers the one that
-begins first (then the longer one); full-width digits and signs
-are read like plain ones, the surface stays as written; copies count each; texts of any length are read whole.
+begins first (then the longer one), of names that with the greater disclosure; full-width digits and signs are read
+like plain ones, the surface stays as written; copies count each; texts of any length are read whole; a corpus without
+structured items gives no names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.runtime import cut, require
 
-DISCLOSURE = 3.0  # log-odds from which an unintroduced mention discloses a person
-SMOOTHING = 0.5
-SUPPORT = 3  # protected mentions a term needs to count in favour
+FIRST, NEXT, DISCLOSURE = 2.0, 3.0, 4.0  # log-odds from which a mention is protected: at first, in between, in the end
+ROUNDS = 3
+SUPPORT = 3  # different names a term needs to count
+PRIOR = 2.0  # names as which the shorter context counts beside the longer one
+APART = 60  # letters from which a structured item does not share its sentence with a mention
+CUE, MOST_CUES = 0.6, 100_000  # share from which a context may introduce a name in small letters; contexts sent to the executors at most
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # Letters of full width and variants of space and dash, one for one, so that offsets stay.
@@ -92,37 +105,21 @@ _JA_NAME = r"[一-鿿々ヶケノ]"
 _JA = rf"(?:〒 ?\d{{3}}-\d{{4}}\s?)?{_JA_NAME}{{1,5}}?[都道府県市区町村](?:{_JA_NAME}{{1,8}}?)?\d{{1,3}}(?:丁目\d{{1,3}}(?:-\d{{1,3}}){{0,2}}|(?:-\d{{1,3}}){{1,3}})"
 ADDRESS = re.compile(rf"(?<![\w\-])(?:{_EN}|{_BOX}|{_FR}|{_ES}|{_IT}|{_DE})(?![\w])|{_JA}(?![\d\-])")
 
-_WORD = r"[^\W\d_]{2,}(?:['’][^\W\d_]+)?"
-_TWO = rf"{_WORD}(?:, {_WORD}| (?:[^\W\d_]\. )?{_WORD}(?:-{_WORD})?)"
-NAME_AFTER = rf"(?P<name>{_TWO})(?![\w\-])"
-_CAPS = r"(?:[A-ZÀ-Þ][^\W\d_]+)"
-CANDIDATE = re.compile(rf"(?<![\w@.\-])(?P<name>{_CAPS}(?: [A-Z]\.)? {_CAPS}(?:-{_CAPS})?)(?![\w@\-])")
-# How texts introduce private persons, and staff or characters; fixed values.
-PRIVATE_BEFORE = re.compile(
-    r"(?:\b(?:typed for|sent in by|submitted by|posted by|subscriber|I owe|(?:sister|brother|mother|father)-in-law|(?:my|our) (?:neighbour|neighbor|friend|cousin|aunt|uncle|flatmate|landlady|landlord)|"
-    r"thanks,|regards,|yours,|cheers,|(?:mit )?(?:freundlichen |viele |liebe )?grüße,?|meine? (?:nachbarin|nachbar|freundin|freund)|eingesandt von|leserbrief von|"
-    r"merci,|cordialement,|lettre de|mon voisin|ma voisine|mon amie?|un saludo de|saludos de|mi (?:vecin[ao]|amig[ao])|carta de|saluti da|grazie,|(?:la|il) mi[ao] (?:amic[ao]|vicin[ao])|lettera di)"
-    r"|隣の|投稿者の本名は|本名は|友人の|読者の)\s?" + NAME_AFTER,
-    re.IGNORECASE,
-)
-PRIVATE_AFTER = re.compile(
-    r"(?<![\w\-])" + NAME_AFTER + r"(?= from the next street|, a (?:reader|subscriber)| asked about| put it,| lent me|, who cannot post| on a shared account| \(Leserbrief\)|, lecteur| ?さん(?:が|は|の|に))"
-)
-PUBLIC = re.compile(
-    r"(?:\b(?:directed by|music by|voiced by|written by|produced by|animation by|character design by|starring|(?:the|our) (?:hero|heroine|villain|protagonist),?)|監督[はの]|声優[はの]|主人公の)\s?" + NAME_AFTER, re.IGNORECASE
-)
-LETTER = re.compile(r"(?i)letter|lettera|lettre|carta")  # also a thing in stories: small letters after it are no name
-SIGNED = re.compile(r"(?:(?<=\[)|(?<=\n)|(?<=[.!?。…] )|^)" + NAME_AFTER + r"(?:\s?\|\s?|\n)$")
-
+_CAPS = r"[A-ZÀ-Þ][^\W\d_]+(?:['’][^\W\d_]+)?"
+#: two capitalised words, at every place where such a pair begins
+CANDIDATE = re.compile(rf"(?<![\w@.\-])(?=(?P<name>{_CAPS}(?:, | (?:[A-Z]\. )?){_CAPS}(?:-{_CAPS})?)(?![\w@\-]))")
+_SMALL = r"[^\W\d_]{3,}(?: [^\W\d_]\.)? [^\W\d_]{3,}(?:-[^\W\d_]+)?"
+SMALL_AFTER, SMALL_BEFORE = re.compile(rf"({_SMALL})(?![\w@\-])"), re.compile(rf"(?<![\w@.\-])({_SMALL})$")
+TOKEN = re.compile(r"\w+|[^\w\s]")
+SENTENCE_END = re.compile(r"[.!?]\s|[。！？]")
+MARKS = {"email": "\ue001", "phone": "\ue002", "id_number": "\ue003", "address": "\ue004"}  # stand for items in contexts
 
 # Words with which no name begins; fixed values.
 NO_NAME = set("the a an my your our his her their this that to for from of in on at all everyone der die das dem den ein eine le la les un une el los las una il lo gli i de des du di da y e et und and".split())
 
 
-def name_shaped(name: str) -> bool:
-    """Both words capitalised, or both in small letters as some type; no article or preposition among them."""
-    words = re.findall(r"[^\W\d_]{2,}", name)
-    return not any(w.lower() in NO_NAME for w in words) and (all(w[0].isupper() for w in words) or name.islower())
+def parts(name: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[^\W\d_]{2,}", name)]
 
 
 def plain(text: str) -> str:
@@ -142,34 +139,86 @@ def structured(t: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def mentions(t: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, list[str]]]:
-    """(start, end, seed, terms) of what may be names: seed 1 private, -1 public, 0 not introduced."""
-    seeds: dict[tuple[int, int], int] = {}
-    for pattern, seed in ((PUBLIC, -1), (PRIVATE_BEFORE, 1), (PRIVATE_AFTER, 1)):
-        for m in pattern.finditer(t):
-            if name_shaped(m["name"]) and not (m["name"].islower() and LETTER.match(m[0])):
-                seeds.setdefault(m.span("name"), seed)
-    for a, _, kind in spans:  # signed above an address or a number
-        if kind in ("address", "phone", "email"):
-            start = max(0, a - 90)
-            if (m := SIGNED.search(t[start:a])) and name_shaped(m["name"]):
-                seeds.setdefault((start + m.start("name"), start + m.end("name")), 1)
+def terms(t: str, spans: list[tuple[int, int, str]], a: int, b: int) -> list[str]:
+    """The contexts of one, two and three words before and after a mention, and its first and last word."""
+    before, after = t[max(0, a - APART) : a], t[b : b + APART]
+    if (left := [s for s in spans if a - APART < s[1] <= a]) and not SENTENCE_END.search(t[left[-1][1] : a]):
+        before = MARKS[left[-1][2]] + t[left[-1][1] : a]
+    if (right := [s for s in spans if b <= s[0] < b + APART]) and not SENTENCE_END.search(t[b : right[0][0]]):
+        after = t[b : right[0][0]] + MARKS[right[0][2]]
+    at, to = [m.start() for m in TOKEN.finditer(before)], [m.end() for m in TOKEN.finditer(after)]
+    out = [f"<{n}" + (before[at[-n] :] if n <= len(at) else "^" + before) for n in (1, 2, 3)]
+    out += [f">{n}" + (after[: to[n - 1]] if n <= len(to) else after + "$") for n in (1, 2, 3)]
+    words = parts(t[a:b])
+    return [re.sub(r"[ \t]+", " ", x).lower() for x in out] + ["=a" + words[0], "=b" + words[-1]]
+
+
+def mentions(t: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, list[str]]]:
+    """(start, end, whether a protected entity stands by, terms) of what may be names."""
+    out = []
     for m in CANDIDATE.finditer(t):
-        if not m["name"].isupper():  # headlines and shouting
-            seeds.setdefault(m.span("name"), 0)
-    out: list = []
-    taken = [(a, b) for a, b, _ in spans]
-    for (a, b), seed in sorted(seeds.items(), key=lambda s: (-abs(s[1]), s[0])):
-        if any(a < y and x < b for x, y in taken):
+        a, b = m.span("name")
+        if m["name"].isupper() or NO_NAME.intersection(parts(m["name"])) or any(a < y and x < b for x, y, _ in spans):  # in capitals: headlines and shouting
             continue
-        taken.append((a, b))
-        before, after = re.findall(r"\w+|[^\w\s]", t[max(0, a - 40) : a])[-3:], re.findall(r"\w+|[^\w\s]", t[b : b + 40])[:3]
-        terms = ["<" + " ".join(before).lower(), "<<" + " ".join(before[-2:]).lower(), ">" + " ".join(after).lower(), ">>" + " ".join(after[:2]).lower(), "=" + t[a:b].lower()]
-        out.append((a, b, seed, terms))
-    return sorted(out)
+        found = terms(t, spans, a, b)
+        adjoins = any(mark in x for x in (*found[:2], *found[3:5]) for mark in MARKS.values())
+        out.append((a, b, adjoins or any(x >= b + APART or y <= a - APART for x, y, _ in spans), found))
+    return out
+
+
+def small_mentions(t: str, spans: list[tuple[int, int, str]], cues: ahocorasick.Automaton) -> list[tuple[int, int, list[str]]]:
+    """(start, end, terms) of pairs of words in small letters beside a context that introduces names."""
+    out: dict[tuple[int, int], list[str]] = {}
+    low = t.lower()
+    if len(low) != len(t):  # letters that change their number with their case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    for last, (side, cue) in cues.iter(low):
+        m = SMALL_AFTER.match(t, last + 1) if side == "<" else SMALL_BEFORE.search(t, max(0, last + 1 - len(cue) - APART), last + 1 - len(cue))
+        if m and m[1].islower() and not NO_NAME.intersection(parts(m[1])) and not any(m.start(1) < y and x < m.end(1) for x, y, _ in spans):
+            out.setdefault(m.span(1), terms(t, spans, *m.span(1)))
+    return [(a, b, x) for (a, b), x in out.items()]
 
 
 FOUND = "doc_id bigint, pii_type string, start int, end int, surface string"
+MENTION = ["doc_id", "start", "end", "surface", "terms"]
+
+
+def _shares(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """(term, k, n) of the terms of mentions with a label: n different names, k of them protected; and the share of all."""
+    named = labelled.withColumn("name", F.lower("surface"))
+    base = named.groupBy("name").agg(F.avg("label").alias("label")).agg(F.avg("label")).first()[0] or 0.0
+    each = named.select(F.explode("terms").alias("term"), "name", "label").groupBy("term", "name").agg(F.avg("label").alias("label"))
+    return each.groupBy("term").agg(F.sum("label").alias("k"), F.count("*").alias("n")).filter(F.col("n") >= SUPPORT), min(max(base, 1e-6), 0.5)
+
+
+def _disclosed(named: DataFrame, shares: DataFrame, base: float, words: bool) -> DataFrame:
+    """Mentions with their disclosure, from their contexts and, if asked, their own words."""
+    known = named.select("doc_id", "start", "end", F.posexplode("terms").alias("at", "term")).join(shares, "term")
+    figures = known.groupBy("doc_id", "start", "end").agg(*[F.max(F.when(F.col("at") == i, F.col(c))).alias(f"{c}{i}") for i in range(8) for c in "kn"])
+    odds = lambda p: F.log(p / (1 - p)) - math.log(base / (1 - base))
+    total: Column = F.lit(0.0)
+    spoken: Column = F.lit(0.0)
+    for side in ((0, 1, 2), (3, 4, 5), *(((6,), (7,)) if words else ())):
+        p: Column = F.lit(base)
+        for i in side:
+            prior = PRIOR * (1 if len(side) > 1 else 2)
+            p = F.when(F.col(f"n{i}").isNull(), p).otherwise((F.col(f"k{i}") + prior * p) / (F.col(f"n{i}") + prior))
+        known_as = odds(F.greatest(F.least(p, F.lit(1 - 1e-4)), F.lit(1e-4)))
+        total, spoken = total + known_as, spoken + known_as if len(side) == 1 else spoken
+    total = F.when((F.col("surface") != F.lower("surface")) | (spoken > 0), total).otherwise(F.lit(0.0))  # in small letters the words must be known of names
+    return named.join(figures, ["doc_id", "start", "end"]).select(*MENTION, total.alias("disclosure"))
+
+
+def _best() -> Column:
+    """Whether no mention that overlaps has a greater disclosure."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    best = F.lit(True)
+    for n in (1, 2):
+        start, end, other = (F.lead(c, n).over(order) for c in ("start", "end", "disclosure"))
+        best = best & ~F.coalesce((start < F.col("end")) & (other > F.col("disclosure")), F.lit(False))
+        start, end, other = (F.lag(c, n).over(order) for c in ("start", "end", "disclosure"))
+        best = best & ~F.coalesce((end > F.col("start")) & (other >= F.col("disclosure")), F.lit(False))
+    return best
 
 
 def find_personal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,22 +231,49 @@ def find_personal(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             for i, text in zip(b["id"], b["text"]):
                 t = plain(text)
                 spans = structured(t)
-                rows += [(i, kind, x, y, text[x:y], 1, []) for x, y, kind in spans]
-                rows += [(i, "name", x, y, text[x:y], seed, terms) for x, y, seed, terms in mentions(t, spans)]
-            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start", "end", "surface", "seed", "terms"])
+                rows += [(i, kind, x, y, text[x:y], 1.0, []) for x, y, kind in spans]
+                rows += [(i, "name", x, y, text[x:y], float(near), found) for x, y, near, found in mentions(t, spans)]
+            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start", "end", "surface", "label", "terms"])
 
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    seen = cut(texts.mapInPandas(scan, FOUND + ", seed int, terms array<string>"))
-    named = seen.filter("pii_type = 'name'")
-    terms = named.select(F.explode(F.array_distinct("terms")).alias("term"), "seed").groupBy("term").agg(F.sum((F.col("seed") == 1).cast("int")).alias("private"), F.count("*").alias("all"))
-    totals = named.agg(F.sum((F.col("seed") == 1).cast("int")).alias("p"), F.count("*").alias("n")).first()
-    p, n = (totals["p"] or 0) + 1.0, (totals["n"] or 0) + 2.0
-    odds = F.log((F.col("private") + SMOOTHING) / (F.col("all") - F.col("private") + SMOOTHING)) - F.log(F.lit(p / max(1.0, n - p)))
-    known = terms.withColumn("odds", odds).filter((F.col("private") >= SUPPORT) | (F.col("odds") < 0)).select("term", "odds")
-    unsure = named.filter("seed = 0").select("doc_id", "start", "end", "surface", F.explode(F.array_distinct("terms")).alias("term"))
-    disclosed = unsure.join(known, "term").groupBy("doc_id", "start", "end", "surface").agg(F.sum("odds").alias("odds"))
-    learnt = disclosed.filter(F.col("odds") >= DISCLOSURE).select("doc_id", F.lit("name").alias("pii_type"), "start", "end", "surface")
-    return seen.filter("seed = 1").select("doc_id", "pii_type", "start", "end", "surface").unionByName(learnt)
+    seen = cut(texts.mapInPandas(scan, FOUND + ", label double, terms array<string>"))
+    items = seen.filter("pii_type <> 'name'").select("doc_id", "pii_type", "start", "end", "surface")
+    named = seen.filter("pii_type = 'name'").select(*MENTION, "label").dropDuplicates(["doc_id", "start", "end"])
+    labelled = named
+    for turn in range(ROUNDS):
+        shares, base = _shares(labelled)
+        scored = _disclosed(named, shares, base, words=turn > 0)
+        labelled = cut(scored.withColumn("label", (_best() & (F.col("disclosure") >= (NEXT if turn else FIRST))).cast("double")))
+    shares, base = _shares(labelled)
+    shares = cut(shares)
+    everywhere = named.select(*MENTION).unionByName(_small(texts, shares))
+    scored = _disclosed(everywhere, shares, base, words=True)
+    names = scored.withColumn("best", _best()).filter(F.col("best") & (F.col("disclosure") >= DISCLOSURE))
+    return items.unionByName(names.select("doc_id", F.lit("name").alias("pii_type"), "start", "end", "surface"))
+
+
+def _small(texts: DataFrame, shares: DataFrame) -> DataFrame:
+    """Mentions in small letters beside the contexts of two and three words that mostly introduce names."""
+    telling = shares.filter((F.col("k") >= CUE * (F.col("n") + PRIOR)) & F.col("term").rlike("^[<>][23]") & ~F.col("term").rlike(f"^..\\^|\\$$|[{''.join(MARKS.values())}]"))
+    cues = [r["term"] for r in telling.select("term").limit(MOST_CUES + 1).collect()]  # contexts, not texts: wordings that many names share
+    if len(cues) > MOST_CUES:
+        raise ValueError("more contexts than an executor should be sent: raise SUPPORT")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for cue in cues:
+            automaton.add_word(cue[2:], (cue[0], cue[2:]))
+        automaton.make_automaton()
+        for b in batches:
+            rows = []
+            for i, text in zip(b["id"], b["text"]):
+                t = plain(text)
+                if cues and (found := small_mentions(t, [], automaton)):
+                    spans = structured(t)
+                    rows += [(i, x, y, text[x:y], terms(t, spans, x, y)) for x, y, _ in found if not any(x < d and c < y for c, d, _ in spans)]
+            yield pd.DataFrame(rows, columns=MENTION)
+
+    return texts.mapInPandas(scan, "doc_id bigint, start int, end int, surface string, terms array<string>").dropDuplicates(["doc_id", "start", "end"])
 
 
 def sanitise(documents: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,25 +104,49 @@ def test_alignment_score(a, b):
         ("documento es QQ 08 46 18 V.", "id_number", "QQ 08 46 18 V"), ("number 8542 6630 6954.", "id_number", "8542 6630 6954"), ("to Flat 9, 152 Juniper Rd, Pellmere.", "address", "Flat 9, 152 Juniper Rd, Pellmere"), ("at P.O. Box 239, Kestrelhay 00955 with", "address", "P.O. Box 239, Kestrelhay 00955"),
         ("to 84 Kiln Rd\nDunmarrow 00586, ring", "address", "84 Kiln Rd\nDunmarrow 00586"), ("au 190 bis avenue du Vieux Moulin à Sel, 00157 Netherquay. À", "address", "190 bis avenue du Vieux Moulin à Sel, 00157 Netherquay"),
         ("en C/ de las Barcas 12, 2.º B, 00566 Netherquay. En", "address", "C/ de las Barcas 12, 2.º B, 00566 Netherquay"), ("in Via Luna Nera n. 214, 00871 Brackenfell.", "address", "Via Luna Nera n. 214, 00871 Brackenfell"), ("an Ginsterweg 75 b, 00558 Dunmarrow.", "address", "Ginsterweg 75 b, 00558 Dunmarrow"),
-        ("住所は 〒000-0124 波原町星金町1丁目4-17 です", "address", "〒000-0124 波原町星金町1丁目4-17"), ("My neighbour Orvor Brandsen lent me", "name", "Orvor Brandsen"), ("Thanks, Ulvini, Isteren Call", "name", "Ulvini, Isteren"), ("was typed for meiri kawazaka, who cannot", "name", "meiri kawazaka"),
+        ("住所は 〒000-0124 波原町星金町1丁目4-17 です", "address", "〒000-0124 波原町星金町1丁目4-17"),
     ],
 )
 def test_personal_details(text, kind, surface):
     spans = privacy.structured(privacy.plain(text))
-    found = [(k, text[a:b]) for a, b, k in spans] + [("name", text[a:b]) for a, b, seed, _ in privacy.mentions(privacy.plain(text), spans) if seed == 1]
-    assert found == [(kind, surface)]
+    assert [(k, text[a:b]) for a, b, k in spans] == [(kind, surface)]
 
 
 @pytest.mark.parametrize("text", ["Book code 978-0-6324-25557-57.", "See thread #404-51-69228.", "Disc no. 555-8958-57 was repressed.", "Broadcast 2021-04-03 25:15.", "Subtitle build v2.19.1.9966.", "Frame 8826/89119 shows", "The host at user@ never answered.", "Directed by Lunor Kester, music by Orvik Follsen.", "The heroine, Silen Perrides, conceals", "Order ABX-36806 came late.", "The tag @salt_studio trended."])
 def test_nothing_personal(text):
-    spans = privacy.structured(privacy.plain(text))
-    assert spans == [] and not [m for m in privacy.mentions(privacy.plain(text), spans) if m[2] == 1]
+    assert privacy.structured(privacy.plain(text)) == []
+
+
+FIRST, LAST = ("Orvor", "Dorela", "Pavys", "Silik", "Brenit", "Halou", "Jolin", "Keden"), ("Brandsen", "Orrelwell", "Kestovic", "Tarrley", "Perrini", "Vantov")
+FILL = "the evening was long and the letters on the table stayed unread until morning came again"
+
+
+def private_corpus(with_items=True):
+    """Readers' names stand in documents with addresses, heroes' names in those without; nothing tells how either is introduced."""
+    rows, names = [], set()
+    for k in range(40):
+        name = f"{FIRST[k % 8]} {LAST[(k * 5 + k // 8) % 6]}"
+        shown = name.lower() if k == 39 else name
+        names.add((k, shown))
+        mail = f"Write to box{k}@mail.test today. " if with_items and k % 4 else "Nobody writes. "
+        rows.append((k, f"{mail}{FILL.capitalize()}. This parcel was wrapped by {shown}, living nearby."))
+    for k in range(100, 220):
+        rows.append((k, f"{FILL.capitalize()}. Then brave Aki{'abcdefgh'[k % 8]} Mori{'abcde'[k % 5]} opened gate {k}." + (" Mail x@y.test." if with_items and k % 12 == 0 else "")))
+    rows += [(300 + k, text) for k, (_, text) in enumerate(rows[100:160])]  # copies under new ids
+    return rows, names
+
+
+def test_contexts_of_names_are_learnt(spark):
+    for with_items in (True, False):
+        rows, names = private_corpus(with_items)
+        got = {(r["doc_id"], r["surface"]) for r in privacy.find_personal(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("pii_type = 'name'").collect()}
+        assert got == (names if with_items else set())  # without protected entities nothing discloses anybody
 
 
 def test_sanitised(spark):
-    docs = spark.createDataFrame([(1, "Mail me at a@b.test, says my neighbour Orvor Brandsen."), (2, None), (3, ""), (4, "Nothing here."), (5, "Text 07700 900 667 or 07700 900 667!")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "Mail me at a@b.test, says he."), (2, None), (3, ""), (4, "Nothing here."), (5, "Text 07700 900 667 or 07700 900 667!")], "doc_id bigint, text string")
     out = {r["doc_id"]: r["text"] for r in privacy.sanitise(docs, privacy.find_personal(docs)).collect()}
-    assert out == {1: "Mail me at [EMAIL], says my neighbour [NAME].", 2: None, 3: "", 4: "Nothing here.", 5: "Text [PHONE] or [PHONE]!"}
+    assert out == {1: "Mail me at [EMAIL], says he.", 2: None, 3: "", 4: "Nothing here.", 5: "Text [PHONE] or [PHONE]!"}
     assert privacy.find_personal(docs.limit(0)).count() == 0
 
 
