@@ -203,7 +203,7 @@ def _disclosed(named: DataFrame, shares: DataFrame, base: float, words: bool) ->
         for i in side:
             prior = PRIOR * (1 if len(side) > 1 else 2)
             p = F.when(F.col(f"n{i}").isNull(), p).otherwise((F.col(f"k{i}") + prior * p) / (F.col(f"n{i}") + prior))
-        known_as = odds(F.greatest(F.least(p, F.lit(1 - 1e-4)), F.lit(1e-4)))
+        known_as = odds(F.greatest(F.least(p, F.lit(1 - 1e-4)), F.lit(min(1e-4, base / 100))))
         total, spoken = total + known_as, spoken + known_as if len(side) == 1 else spoken
     total = F.when((F.col("surface") != F.lower("surface")) | (spoken > 0), total).otherwise(F.lit(0.0))  # in small letters the words must be known of names
     return named.join(figures, ["doc_id", "start", "end"]).select(*MENTION, total.alias("disclosure"))
