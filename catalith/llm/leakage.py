@@ -23,11 +23,13 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ SHARED = 0.02  # of the items (and three at least) from which an n-gram is commo
 STRETCH, AGREED = 15, 12  # words of the item spanned, and of these agreeing
 OWN_SHARE, OWN_LEAST, PART_LEAST, PART_AGREED = 0.7, 2, 5, 0.75
 MATCH, NEAR, MISS, GAP = 1.0, 0.8, -1.2, -0.9
-MOST_PARTS, APART = 8, 4
+APART = 4  # words between two of a seed, and of a part
+MOST_WORDS = 300_000  # words of items whose index is sent to the executors at once
 PAIRS = 1 << 22  # places of the table that sorts out pairs of words no seed begins or ends with
 MOST_KNOWN, AT_ONCE = 200_000, 20_000  # words of documents a task remembers, and looks up together, about
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:[-'’][^\W_]+)*")
@@ -102,7 +105,7 @@ def repeated(split: dict[int, list[str]]) -> list[list[int]]:
     return list({id(members): members for members in group.values()}.values())
 
 
-def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item], Index]:
+def prepare_items(rows: list[tuple[int, str | None]], indexed: bool = True) -> tuple[dict[int, Item], Index | None]:
     """The items made ready, and the index of their seeds."""
     split = {i: words(t) for i, t in rows if t}
     groups = repeated(split)
@@ -120,7 +123,11 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item],
                 for d in deletions(w, 1 if len(w) < 8 else 2):
                     near[d].append(w)
         items[i] = Item(i, ws, own, dict(near))
-    ready = list(items.values())
+    return items, build_index(list(items.values())) if indexed else None
+
+
+def build_index(ready: list[Item]) -> Index:
+    """The index of the seeds of some items."""
     ids = {w: k for k, w in enumerate(dict.fromkeys(w for item in ready for w in item.words))}
     left: dict[str, set[str]] = defaultdict(set)
     for item in ready:
@@ -141,7 +148,7 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> tuple[dict[int, Item],
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     seeds, first = np.unique(key[order], return_index=True)
-    return items, Index(ready, ids, {d: sorted(ws) for d, ws in left.items()}, pairs, seeds, np.append(first, len(key)), np.concatenate(places)[order], starts, own)
+    return Index(ready, ids, {d: sorted(ws) for d, ws in left.items()}, pairs, seeds, np.append(first, len(key)), np.concatenate(places)[order], starts, own)
 
 
 def alike(index: Index, w: str) -> list[int]:
@@ -314,7 +321,7 @@ def judge(item: Item, doc: list[str]) -> tuple[int, int]:
         return 0, 0  # too few to make a case
     n, own_least = least(item)
     spanned = agreed = 0
-    for _ in range(MOST_PARTS):
+    while True:  # each alignment takes its words away, so the score falls below the least of a part
         pairs, score = local_alignment(s)
         if score <= 0 or score < n - 1:
             break
@@ -361,13 +368,25 @@ def cases(index: Index, docs: list[list[str]], known: dict[str, list[int]]) -> I
 def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, spanned, agreed): the documents that hold a passage of an item.
 
-    ``items``: (item_id, text), an evaluation set of bounded size (it is read on the driver and sent to the executors).
+    ``items``: (item_id, text), an evaluation set (read on the driver).  Its index is sent to the executors in slices of
+    at most ``MOST_WORDS`` words, or one item; the documents are read once a slice.
     """
     require(documents, id_col, text_col)
     require(items, "item_id", "text")
     spark = documents.sparkSession
-    _, index = prepare_items([(int(r["item_id"]), r["text"]) for r in items.select("item_id", "text").filter("item_id is not null").collect()])
-    sent = spark.sparkContext.broadcast(index)
+    ready, _ = prepare_items([(int(r["item_id"]), r["text"]) for r in items.select("item_id", "text").filter("item_id is not null").collect()], indexed=False)
+    texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    slices: list[list[Item]] = [[]]
+    for item in ready.values():
+        if slices[-1] and sum(len(x.words) for x in slices[-1]) + len(item.words) > MOST_WORDS:
+            slices.append([])
+        slices[-1].append(item)
+    found = [texts.mapInPandas(_aligner(spark.sparkContext.broadcast(build_index(part))), "doc_id bigint, item_id bigint, spanned int, agreed int") for part in slices]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _aligner(sent: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Cases of the documents of a batch, under the index sent."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[int]] = {}
@@ -380,5 +399,4 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 rows += [(b["id"].iloc[at[d]], *case) for d, *case in cases(sent.value, [split[k] for k in at], known)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "spanned", "agreed"])
 
-    texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    return texts.mapInPandas(align, "doc_id bigint, item_id bigint, spanned int, agreed int").distinct()
+    return align

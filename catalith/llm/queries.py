@@ -61,6 +61,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(pack(table(spark, sf_dir, "documents"), containers), containers)
 
 
+def p7_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same assignment by the weighted dot product."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"), rule="dot")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a passage of an evaluation item, with the item."""
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -77,7 +82,7 @@ def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(documents, find_personal(documents)).select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_status": p3_status, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_status": p3_status, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p7_dot": p7_dot, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
 SQL: dict[str, str] = {
     # status: the most recent that says something, at equal times from the more trusted feed, then the smaller id
     "p3_status": f"""

@@ -12,7 +12,7 @@ SIZES = st.lists(st.integers(1, 300), max_size=60)
 @settings(max_examples=60, deadline=None)
 @given(SIZES, st.sampled_from(["residual", "dot"]))
 def test_packing_is_whole_and_fits(sizes, rule):
-    out = packing.pack_block("k", 100, 3, list(range(len(sizes))), sizes, rule)
+    out = packing.pack_block("k", packing.capacities(100), 3, list(range(len(sizes))), sizes, rule)
     assert out.groupby("container_id")["n_tokens"].sum().le(100).all() if len(out) else not sizes
     for i, n in enumerate(sizes):
         parts = out[out.doc_id == i].sort_values("part")
@@ -22,21 +22,40 @@ def test_packing_is_whole_and_fits(sizes, rule):
 @settings(max_examples=60, deadline=None)
 @given(SIZES)
 def test_choice_is_that_of_a_full_search(sizes):
-    packer = packing.Packer(300)
+    packer = packing.Packer(300, 8, 30_000.0)
     for n in sizes:
-        fits = [(packer.norm(left, n), c) for c, left in enumerate(packer.left) if left[0] >= n and left[1] >= 1 and left[2] >= n * n and left[0] > 0]
+        fits = [(packer.norm(left, n), c) for c, left in enumerate(packer.left) if left[0] >= n and left[1] >= 1 and left[2] >= n * n and left[0] > 0 and left[1] > 0]
         best = min((round(s, 12) for s, _ in fits), default=None)
         c = packer.choose(n)
         assert (c < 0) == (not fits) and (c < 0 or round(packer.norm(packer.left[c], n), 12) == best)
         packer.put(n)
 
 
+def _used(out, size=100):
+    g = out.groupby("container_id")["n_tokens"]
+    return g.sum().max(), g.size().max(), g.apply(lambda x: (x**2).sum()).max()
+
+
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+def test_each_capacity_binds(rule):
+    sizes = [40] * 30 + [20] * 30 + [3] * 200
+    pack = lambda *c: packing.pack_block("k", c, 0, list(range(len(sizes))), sizes, rule)
+    assert _used(pack(100, 1000, 1e9))[0] == 100
+    assert _used(pack(100, 6, 1e9))[1] == 6 < _used(pack(100, 1000, 1e9))[1]
+    assert _used(pack(100, 1000, 2500.0))[2] <= 2500 < _used(pack(100, 1000, 1e9))[2]  # no two of 40 in a container
+    alone = packing.pack_block("k", (100, 1000, 2500.0), 0, [1, 2, 3], [90, 60, 40], rule)  # 90 and 60 exceed it by themselves
+    assert alone.groupby("container_id")["doc_id"].apply(sorted).tolist() == [[1], [2, 3]]
+
+
 def test_pack_table(spark):
     docs = spark.createDataFrame([(1, "one two three", "c"), (2, None, "c"), (3, "", "c"), (4, "word " * 700, "c"), (1, "one two three", "c")], "doc_id bigint, text string, kind string")
     kinds = spark.createDataFrame([("short", 256), ("page", 1024)], "kind string, capacity_tokens int")
     out = packing.pack(docs, kinds).toPandas()
     assert sorted(out[out.kind == "short"].doc_id) == [1, 1, 4, 4, 4] and sorted(out[out.kind == "page"].doc_id) == [1, 1, 4]
     assert packing.pack(docs.limit(0), kinds).count() == 0
+    few = spark.createDataFrame([("pair", 1024, 2, None), (None, 5, None, None)], "kind string, capacity_tokens int, capacity_documents int, capacity_attention double")
+    short = spark.createDataFrame([(k, "one two three") for k in range(7)], "doc_id bigint, text string")
+    assert packing.fill_report(packing.pack(short, few), few).select("containers", "documents_fill").collect() == [(4, 0.875)]
 
 
 ITEM = "In flashback Miriavi loudly trades a dragon for the ashen foundry, which explains the scar on the knight of Midorizaka. Before sunrise the crew of the paper sword votes, Isteish abstains, and the lantern quietly crosses its own harbour."
@@ -72,6 +91,24 @@ def test_leaks(spark, text, hit):
     assert got == ({(1, 100), (2, 100)} if hit else set())
 
 
+def test_a_passage_in_many_pieces_counts_whole():
+    rng = random.Random(4)
+    letters = "bcdfghjklmnprstvz"
+    item = ["".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    ready, _ = leakage.prepare_items([(1, " ".join(item))])
+    pieces = [item[k : k + 6] for k in range(0, 60, 6)]
+    rng.shuffle(pieces)
+    doc = [w for piece in pieces for w in [*piece, *[f"filler{rng.random()}" for _ in range(9)]]]
+    assert leakage.judge(ready[1], doc) == (60, 60)
+
+
+def test_items_in_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
+    table = spark.createDataFrame(items(), "item_id bigint, text string")
+    monkeypatch.setattr(leakage, "MOST_WORDS", 100)
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, table).collect()] == [(1, 100)]
+
+
 def test_leak_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.leaked(docs, none).count() == 0
