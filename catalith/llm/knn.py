@@ -1,17 +1,25 @@
 """The k most similar vectors for every query vector, by collision-counting hashing.
 
-Vectors are scaled to length one and projected onto ``m`` single directions (leading principal directions, fitted on a
-bounded sample of at most ``SAMPLE`` rows; every row is indexed).  Each projection keeps its own sorted array.  A query
-opens a window around its own projection in every array; a vector that falls into enough windows (``threshold`` of the
-``m``) is verified by its exact cosine.  Virtual rehashing widens all windows together, without building anything new,
-until the k-th verified vector lies within the radius the windows stand for (once k are verified, the distance of the
-k-th bounds the radius still needed, so the next widening is the last but for chance); the last window holds the whole array, so
-a query always ends with k vectors if there are so many.  The half-width for a radius R is ``WIDTH * R / sqrt(dim)``:
-the projected difference of two vectors at distance R has a deviation of about R / sqrt(dim) on each direction.
-
-Points and queries are cut into blocks of bounded size by a hash of their ids; one task handles one pair of blocks, so
-no id, however often it repeats, makes a task larger.  Each pair gives at most k points a query; a point found in
-several blocks keeps its best similarity before a window takes the best k of all blocks.
+Vectors are scaled to length one and projected onto ``m`` single directions.  Directions (leading principal ones) and
+the representatives of cells are fitted on a bounded sample of at most ``SAMPLE`` rows; every row is indexed.  A point
+belongs to the cell of the representative nearest to it, and inside a cell each projection keeps its own sorted array.
+Then, for a query:
+
+* in its own cell a window opens around its projection in every array, and a vector that falls into enough windows
+  (``THRESHOLD`` of the ``m``) is verified by its exact cosine; virtual rehashing widens all windows together, without
+  building anything new, until the k-th verified vector lies within the radius the windows stand for;
+* the distance of that k-th vector is the radius the query still needs: in the ``PROBES`` cells that are next nearest
+  its windows are opened once, as wide as that, and what collides and is as near is verified.
+
+The half-width for a radius R is ``WIDTH * R / sqrt(dim)``: the projected difference of two vectors at distance R has
+a deviation of about R / sqrt(dim) on each direction.  Cells keep their size as the points grow, up to ``SAMPLE /
+LEAST_SAMPLED`` of them, so what a query costs is the points of the cells it reaches, a smaller share the more there
+are.  What comes to the driver is the number of points and queries of each cell.
+
+Cells larger than two blocks (copies of one vector, or very many points) are split by a hash, and so are the queries of
+a cell: one task handles one block of points and one of queries, whatever repeats.  Each gives at most k points a
+query; a point found in several blocks keeps its best similarity before the best k are taken.  A query whose own cell
+holds fewer than k points is compared with all.
 
 Cases: vectors that are null, all zero, of another length or not finite neither ask nor answer.  A point with several
 vectors counts by its best one.  Equal similarities go to the smaller id.  Fewer than k usable points give fewer rows,
@@ -22,14 +30,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.runtime import cut
+
 SAMPLE = 20_000  # rows the directions are fitted on, at most
-POINT_BLOCK, QUERY_BLOCK = 40_000, 16_000  # vectors in a block, about
+CELL, LEAST_SAMPLED = 512, 16  # points in a cell, and vectors of the sample for a representative, about
+PROBES, TURNS = 8, 6  # cells a query is looked for in beside its own; turns in which representatives settle
+POINT_BLOCK, QUERY_BLOCK = 2_048, 8_192  # vectors in a block, about
 DIRECTIONS = 24
 THRESHOLD = 0.875  # share of the windows a vector has to fall into
 WIDTH = 2.0
@@ -69,80 +82,137 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def fit_directions(units: DataFrame, dim: int, rows: int, m: int = DIRECTIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and leading principal directions of a sample of at most SAMPLE unit vectors, taken by a hash of the id."""
+class Index(NamedTuple):
+    """Directions of the sorted arrays, and the representatives of the cells."""
+
+    centre: np.ndarray
+    directions: np.ndarray
+    representatives: np.ndarray
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.centre) @ self.directions
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        parts = [(x[k : k + 4096] @ self.representatives.T).argmax(axis=1) for k in range(0, len(x), 4096)]
+        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+
+
+def fit_index(units: DataFrame, dim: int, rows: int, m: int = DIRECTIONS) -> Index:
+    """Directions and representatives from a sample of at most SAMPLE unit vectors, taken by a hash of the id."""
     every = max(1, rows // SAMPLE)
     taken = units.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vec").limit(SAMPLE).toArrow()
-    x = _matrix(taken.column("vec"), dim).astype(np.float64)
+    x = _matrix(taken.column("vec"), dim)
+    m = min(m, dim)
     if not len(x):
-        return np.zeros(dim, np.float32), np.eye(dim, min(m, dim), dtype=np.float32)
-    centre = x.mean(axis=0)
+        return Index(np.zeros(dim, np.float32), np.eye(dim, m, dtype=np.float32), np.eye(1, dim, dtype=np.float32))
+    x = x[np.lexsort(x.T[:4])]  # the sample in an order of its own, whatever order it came in
+    centre = x.mean(axis=0, dtype=np.float64)
     _, v = np.linalg.eigh((x - centre).T @ (x - centre))
-    return centre.astype(np.float32), np.ascontiguousarray(v[:, ::-1][:, : min(m, dim)]).astype(np.float32)
+    cells = max(1, min(rows // CELL, len(x) // LEAST_SAMPLED))
+    index = Index(centre.astype(np.float32), np.ascontiguousarray(v[:, ::-1][:, :m]).astype(np.float32), x[np.random.default_rng(0).permutation(len(x))[:cells]])
+    for _ in range(TURNS):
+        cell = index.cells(x)
+        sums = np.zeros_like(index.representatives)
+        np.add.at(sums, cell, x)
+        norm = np.linalg.norm(sums, axis=1)
+        settled = norm > 0
+        index.representatives[settled] = sums[settled] / norm[settled, None]
+    return index
+
 
+def block_neighbours(
+    points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, index: Index, radii: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, similarities) of the k best points of one block for each query, by collision counting.
 
-def block_neighbours(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, centre: np.ndarray, directions: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, similarities) of the k best points of one block for each query, by collision counting."""
+    With ``radii`` only points as near as that count; without, windows widen until k points are sure, or the block ends.
+    """
     n, dim = points.shape
-    m = directions.shape[1]
+    m = index.directions.shape[1]
     need = math.ceil(THRESHOLD * m)
-    projected = ((points - centre) @ directions).T
+    projected = index.projected(points).T
     order = np.argsort(projected, axis=1, kind="stable")
     arrays = np.take_along_axis(projected, order, axis=1)  # one sorted array a direction
-    cell = np.empty((m, n), np.uint8)  # places in the sorted array, in 256 equal cells: windows are rounded outwards
-    np.put_along_axis(cell, order, (np.arange(n) * 256 // n).astype(np.uint8)[None], axis=1)
-    asked = (queries - centre) @ directions
-    exact = queries.astype(np.float64)
-    where, hit, count = np.empty(n, np.uint8), np.empty(n, np.bool_), np.empty(n, np.uint8)
-    hits = hit.view(np.uint8)
-
-    def windows(at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """First cell and number of further cells of each direction's window."""
+    asked = index.projected(queries)
+    exact, doubled = queries.astype(np.float64), points.astype(np.float64)
+
+    def colliding(q: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
+        """The points that fall into enough of the windows around each of some queries."""
         half = WIDTH * radius / math.sqrt(dim)
-        low = np.array([a.searchsorted(x - half) for a, x in zip(arrays, at)])
-        high = np.array([a.searchsorted(x + half, "right") for a, x in zip(arrays, at)])
-        first = np.minimum(low, n - 1) * 256 // n
-        return first.astype(np.uint8), np.maximum(np.maximum(high - 1, 0) * 256 // n - first, 0).astype(np.uint8)
-
-    def ranked(found: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors by exact similarity, their similarities, and where the k best points have their best vector."""
-        similar = np.round(points[found].astype(np.float64) @ query, 12)
+        low = np.stack([a.searchsorted(x - half) for a, x in zip(arrays, asked[q].T)], axis=1)
+        high = np.stack([a.searchsorted(x + half, "right") for a, x in zip(arrays, asked[q].T)], axis=1)
+        empty = (high <= low).sum(axis=1) > m - need
+        return [
+            np.zeros(0, np.int64) if none else np.flatnonzero(np.bincount(np.concatenate([o[x:y] for o, x, y in zip(order, a, b)]), minlength=n) >= need)
+            for a, b, none in zip(low, high, empty)
+        ]
+
+    def ranked(found: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best points by exact similarity, each by its best vector."""
+        similar = np.round(doubled[found] @ query, 12)
         best = np.lexsort((ids[found], -similar))
         _, first = np.unique(ids[found[best]], return_index=True)
-        return found[best], similar[best], np.sort(first)[:k]
-
-    results: list = []
-    for q in range(len(queries)):
-        radius, done = FIRST_RADIUS, False
-        while not done:
-            done = radius >= 2
-            if done:
-                found = np.arange(n)
+        first = np.sort(first)[:k]
+        return ids[found[best[first]]], similar[best[first]]
+
+    every = np.arange(len(queries))
+    if radii is not None:
+        for q, found in zip(every, colliding(every, radii)):
+            found = found if radii[q] < 2 else np.arange(n)
+            near, similar = ranked(found, exact[q])
+            inside = 2 - 2 * similar <= radii[q] ** 2 + 1e-6
+            yield near[inside], similar[inside]
+        return
+    results: list = [None] * len(queries)
+    radius, left = np.full(len(queries), FIRST_RADIUS), every
+    while len(left):
+        whole = radius[left] >= 2
+        for q, found in zip(left[whole], [np.arange(n)] * int(whole.sum())):
+            results[q] = ranked(found, exact[q])
+        left = left[~whole]
+        again = []
+        for q, found in zip(left, colliding(left, radius[left]) if len(left) else []):
+            near = ranked(found, exact[q]) if len(found) >= k else ((), ())
+            reach = math.sqrt(max(0.0, 2 - 2 * near[1][-1])) if len(near[0]) == k else math.inf  # no point of the k best is farther away
+            if reach <= radius[q]:
+                results[q] = near
             else:
-                count.fill(0)
-                for column, low, width in zip(cell, *windows(asked[q], radius)):  # cell - low <= width, unsigned: inside the window
-                    np.subtract(column, low, out=where)
-                    np.less_equal(where, width, out=hit)
-                    np.add(count, hits, out=count)
-                found = np.flatnonzero(count >= need)
-            if len(found) < k and not done:
-                radius *= WIDEN
-                continue
-            whole = found
-            if len(found) > 8 * k:  # mostly enough for k points of several vectors each; ties at the cut stay
-                rough = points[found] @ queries[q]
-                found = found[rough >= np.partition(rough, len(found) - 8 * k)[len(found) - 8 * k] - 1e-5]
-            found, similar, first = ranked(found, exact[q])
-            if len(first) < k and len(found) < len(whole):  # a few points of very many vectors took the places
-                found, similar, first = ranked(whole, exact[q])
-            if len(first) < k:
-                radius *= WIDEN
-                continue
-            reach = math.sqrt(max(0.0, 2 - 2 * similar[first[-1]]))  # no point of the k best is farther away
-            done |= reach <= radius
-            radius = reach if reach < 2 else 2.0
-        results.append((ids[found[first]], similar[first]))
-    return results
+                radius[q] = min(reach + 1e-6, 2.0) if reach < 2 else radius[q] * WIDEN
+                again.append(q)
+        left = np.array(again, np.int64)
+    yield from results
+
+
+def _blocks(held: dict[int, int], cells: int, size: int) -> Column:
+    """An array literal of the number of blocks of each cell."""
+    return F.lit([max(1, math.ceil(held.get(c, 0) / size)) for c in range(cells)])
+
+
+def _counts(placed: DataFrame) -> dict[int, int]:
+    return {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell
+
+
+def _met(points: DataFrame, routed: DataFrame, held: dict[int, int], index: Index, dim: int, k: int) -> DataFrame:
+    """(query_id, id, similarity) of the k best of each block of points for the queries (id, vec, cell, radius) routed to its cell."""
+    cells = len(index.representatives)
+    point_blocks, query_blocks = _blocks(held, cells, 2 * POINT_BLOCK), _blocks(_counts(routed), cells, QUERY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.get(n, F.col("cell")) - 1))
+    block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.get(n, F.col("cell"))).cast("int")
+    left = points.select("id", "vec", "cell", block(point_blocks).alias("pb"), every(query_blocks).alias("qb"))
+    right = routed.select("id", "vec", "radius", "cell", block(query_blocks).alias("qb"), every(point_blocks).alias("pb"))
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if a.num_rows and b.num_rows:
+            radii = None if b.column("radius").null_count else b.column("radius").to_numpy()
+            found = block_neighbours(_matrix(a.column("vec"), dim), np.asarray(a.column("id").to_pylist(), object), _matrix(b.column("vec"), dim), k, index, radii)
+            for q, (near, similar) in zip(b.column("id").to_pylist(), found):
+                for column, values in zip(out, ([q] * len(near), near, similar)):
+                    column.extend(values)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.string()), "similarity": pa.array(out[2], pa.float64())})
+
+    return left.groupBy("cell", "pb", "qb").cogroup(right.groupBy("cell", "pb", "qb")).applyInArrow(search, "query_id bigint, id string, similarity double")
 
 
 def most_similar(points: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> DataFrame:
@@ -151,28 +221,44 @@ def most_similar(points: DataFrame, queries: DataFrame, dim: int, k: int = 10) -
     ``points``: (id string, vec array<float>), several rows for a point of several vectors; ``queries``: (query_id
     bigint, vec array<float>).
     """
-    rows, asked = (df.filter(F.col("vec").isNotNull()).count() for df in (points, queries))
-    n_points, n_queries = max(1, math.ceil(rows / POINT_BLOCK)), max(1, math.ceil(asked / QUERY_BLOCK))
     units = _unit_rows(points.select(F.col("id").cast("string").alias("id"), "vec"), dim)
-    centre, directions = fit_directions(units, dim, rows)
+    index = fit_index(units, dim, points.filter(F.col("vec").isNotNull()).count())
     wanted = _unit_rows(queries.select(F.col("query_id").cast("bigint").alias("id"), "vec"), dim)
-    block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = units.select("id", "vec", block(n_points).alias("pb"), every(n_queries).alias("qb"))
-    right = wanted.select("id", "vec", block(n_queries).alias("qb"), every(n_points).alias("pb"))
 
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids: list = []
-        if a.num_rows and b.num_rows:
-            names = np.asarray(a.column("id").to_pylist(), object)
-            found = block_neighbours(_matrix(a.column("vec"), dim), names, _matrix(b.column("vec"), dim), k, centre, directions)
-            for q, (near, similar) in zip(b.column("id").to_pylist(), found):
-                ids += [(q, i, s) for i, s in zip(near, similar)]
-        cols = list(zip(*ids)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.string()), "similarity": pa.array(cols[2], pa.float64())})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(_matrix(b.column("vec"), dim)))], [*b.schema.names, "cell"])
+
+    placed = units.mapInArrow(place, "id string, vec binary, cell int")
+    held = _counts(placed)
+    if not held:
+        return points.sparkSession.createDataFrame([], "query_id bigint, id string, similarity double")
+    known = np.array(sorted(held), np.int32)  # of the others no point is nearest
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        """The cells that hold points, the nearest PROBES + 1 of each query first."""
+        return known[np.argsort(-(x @ index.representatives[known].T), axis=1, kind="stable")]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                order = ranked(_matrix(b.column("vec"), dim))
+                radii = b.column("radius").to_numpy(zero_copy_only=False)
+                first = np.isnan(radii)  # in its own cell, then in others
+                place = np.arange(len(known))[None]
+                wanted_here = np.where(first[:, None], place < 1, (place >= 1) & ((place <= PROBES) | (radii >= 2)[:, None]))
+                q, c = np.nonzero(wanted_here)
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(q)).columns, pa.array(order[q, c])], [*b.schema.names, "cell"])
 
-    near = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInArrow(search, "query_id bigint, id string, similarity double")
-    near = near.repartition("query_id").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    routed = "id bigint, vec binary, radius double, cell int"
+    home = cut(_met(placed, wanted.withColumn("radius", F.lit(None).cast("double")).mapInArrow(route, routed), held, index, dim, k))
+    near = home.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    enough = near.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("similarity"), False), F.lit(k - 1)).alias("last"))  # at most k from each block of the cell
+    radius = F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(0.0)))
+    reach = wanted.join(enough.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vec", F.coalesce(radius, F.lit(2.0)).alias("radius"))
+    near = near.unionByName(_met(placed, reach.mapInArrow(route, routed), held, index, dim, k))
+    near = near.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
 

@@ -17,7 +17,8 @@ def exact(points, queries, k):
 
 
 def test_recall_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn, "POINT_BLOCK", 300)
+    monkeypatch.setattr(knn, "CELL", 40)
+    monkeypatch.setattr(knn, "POINT_BLOCK", 15)
     monkeypatch.setattr(knn, "QUERY_BLOCK", 20)
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((20, 32))
@@ -47,7 +48,8 @@ def test_unusable_vectors_ties_and_several_vectors(spark):
 
 
 def test_points_of_several_vectors_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(knn, "POINT_BLOCK", 100)
+    monkeypatch.setattr(knn, "CELL", 150)
+    monkeypatch.setattr(knn, "POINT_BLOCK", 30)
     rng = np.random.default_rng(2)
     points = [(f"p{i:03d}", (x + 0.05 * rng.standard_normal(16)).tolist()) for i, x in enumerate(rng.standard_normal((150, 16))) for _ in range(4)]
     queries = [(i, rng.standard_normal(16).tolist()) for i in range(30)] * 2
@@ -61,5 +63,34 @@ def test_points_of_several_vectors_over_several_blocks(spark, monkeypatch):
 def test_a_point_of_very_many_vectors_hides_no_other():
     points = np.concatenate([np.tile([1.0, 0.0], (500, 1)), [[0.0, 1.0], [0.6, 0.8]]]).astype(np.float32)
     ids = np.asarray(["many"] * 500 + ["b", "c"], object)
-    ((near, _),) = knn.block_neighbours(points, ids, np.asarray([[1.0, 0.0]], np.float32), 3, np.zeros(2, np.float32), np.eye(2, dtype=np.float32))
+    ((near, _),) = knn.block_neighbours(points, ids, np.asarray([[1.0, 0.0]], np.float32), 3, knn.Index(np.zeros(2, np.float32), np.eye(2, dtype=np.float32), np.eye(2, dtype=np.float32)))
     assert near.tolist() == ["many", "c", "b"]
+
+
+def test_cells_of_few_points_and_copies_of_one(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 4)
+    monkeypatch.setattr(knn, "LEAST_SAMPLED", 1)
+    monkeypatch.setattr(knn, "POINT_BLOCK", 20)
+    rng = np.random.default_rng(3)
+    points = [(f"p{i:03d}", v) for i, v in enumerate(rng.standard_normal((60, 8)).tolist())] + [(f"same{i:03d}", [1.0] * 8) for i in range(120)]
+    queries = [(i, v) for i, v in enumerate([[1.0] * 8, *rng.standard_normal((5, 8)).tolist()])]
+    got = {}
+    for r in knn.most_similar(spark.createDataFrame(points, "id string, vec array<float>"), spark.createDataFrame(queries, "query_id bigint, vec array<float>"), 8, k=10).collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert sorted(got[0]) == [f"same{i:03d}" for i in range(10)] and all(len(v) == 10 for v in got.values())
+
+
+def test_work_of_a_query_grows_slower_than_the_points():
+    """Points compared a query, at two sizes, as the cells decide it."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((400, 16))
+    shares = []
+    for n in (20_000, 80_000):
+        x = centres[rng.integers(0, 400, n)] + 0.3 * rng.standard_normal((n, 16))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        cells = min(n // knn.CELL, knn.SAMPLE // knn.LEAST_SAMPLED)
+        index = knn.Index(np.zeros(16, np.float32), np.eye(16, dtype=np.float32), x[rng.permutation(n)[:cells]])
+        held = np.bincount(index.cells(x), minlength=cells)
+        probed = np.argsort(-(x[:300] @ index.representatives.T), axis=1)[:, : knn.PROBES + 1]
+        shares.append(held[probed].sum(axis=1).mean())
+    assert shares[1] < 1.5 * shares[0]  # of four times the points
