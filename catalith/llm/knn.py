@@ -256,7 +256,7 @@ def most_similar(points: DataFrame, queries: DataFrame, dim: int, k: int = 10) -
     near = home.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     enough = near.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("similarity"), False), F.lit(k - 1)).alias("last"))  # at most k from each block of the cell
     radius = F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(0.0)))
-    reach = wanted.join(enough.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vec", F.coalesce(radius, F.lit(2.0)).alias("radius"))
+    reach = wanted.join(enough.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vec", F.when(F.col("last").isNull(), F.lit(2.0)).otherwise(radius).alias("radius"))
     near = near.unionByName(_met(placed, reach.mapInArrow(route, routed), held, index, dim, k))
     near = near.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
