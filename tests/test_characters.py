@@ -45,6 +45,11 @@ def test_platform_ids_and_preambles(spark):
     urls = F.array(*[F.lit(u) for u in ("https://myanimelist.net/anime/5/x", "https://anidb.net/anime/7", "https://anidb.net/anime/8")])
     assert one.select(text.platform_ids(urls)).first()[0] == {"mal_url": "https://myanimelist.net/anime/5/x", "anidb_id": "7"}
     assert one.select(text.strip_preamble(F.lit("Name: Luffy Age: 17  Height: 172 cm  Luffy is brave."))).first()[0] == "Luffy is brave."
+    for written, prose in (
+        ("Age: 17  (as of the start) Zoro is calm.  He sleeps.", "Zoro is calm. He sleeps."), ("Height: 172 cm  17; 19  Nami draws maps.", "Nami draws maps."),
+        ("No fields at all.", "No fields at all."), ("", None), (None, None), ("3 men: a tale", "3 men: a tale"), ("Âge: 17  Un héros.", "Un héros."),
+    ):
+        assert one.select(text.strip_preamble(F.lit(written).cast("string"))).first()[0] == prose, written
     assert one.select(text.strip_preamble(F.lit("Name: Luffy Age: 17"))).first()[0] is None and one.select(text.planet_url(F.lit("/anime/x"))).first()[0] == "https://www.anime-planet.com/anime/x"
     assert tuple(one.select(text.mal_anime_url(F.lit("https://myanimelist.net/anime/5/x"))).first()[0]) == ("https://myanimelist.net/anime/5", True)
 

@@ -50,6 +50,7 @@ def test_text(spark):
     assert value(spark, text.provider(lit("https://www.anime-planet.com/anime/x"))) == "Anime-Planet" and value(spark, text.provider(lit("https://a.b/c"))) == "a.b"
     assert value(spark, text.stable_id(F.array(lit("https://anilist.co/anime/5"), lit("https://myanimelist.net/anime/7/x")), lit("T"), lit("TV"))) == "mal:7"
     assert value(spark, text.percent_normal(lit("https://a.b/c%20d?x=1"))) == "https://a.b/c%20d?x=1"
+    assert value(spark, text.strip_markup(lit(" itâ€™s &#38; Â©\n"))) == "it’s & ©" and value(spark, text.strip_markup(lit("Été â 日本"))) == "Été â 日本"
     assert value(spark, text.strip_markup(lit("<p>CafÃ© &amp; <b>x</b></p>"))) == "Café & x" and value(spark, text.unicode_fold(lit("Éß"))) == "éss"
     assert value(spark, text.fallback_title(lit("https://simkl.com/1"))) == "Related Anime (Simkl)" and value(spark, text.relation_from_url(lit("/x-OVA-2"))) == "OVA"
     assert value(spark, text.token_sort_similarity(lit("b a"), lit("a b"))) == 1.0 and value(spark, text.token_set_similarity(lit("a b c"), lit("a b"))) == 1.0
