@@ -10,13 +10,25 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-# Syllables of the kana table by consonant row, a-i-u-e-o, in Hepburn; fixed values.
-_ROWS = {
-    "アイウエオ": "a i u e o", "カキクケコ": "ka ki ku ke ko", "ガギグゲゴ": "ga gi gu ge go", "サシスセソ": "sa shi su se so", "ザジズゼゾ": "za ji zu ze zo",
-    "タチツテト": "ta chi tsu te to", "ダヂヅデド": "da ji zu de do", "ナニヌネノ": "na ni nu ne no", "ハヒフヘホ": "ha hi fu he ho", "バビブベボ": "ba bi bu be bo",
-    "パピプペポ": "pa pi pu pe po", "マミムメモ": "ma mi mu me mo", "ヤユヨ": "ya yu yo", "ラリルレロ": "ra ri ru re ro", "ワヰヱヲ": "wa i e o", "ンヴ": "n vu",
+# Katakana in Hepburn, in the order of the kana table; fixed values.
+KANA = {
+    "ア": "a", "イ": "i", "ウ": "u", "エ": "e", "オ": "o",
+    "カ": "ka", "キ": "ki", "ク": "ku", "ケ": "ke", "コ": "ko",
+    "ガ": "ga", "ギ": "gi", "グ": "gu", "ゲ": "ge", "ゴ": "go",
+    "サ": "sa", "シ": "shi", "ス": "su", "セ": "se", "ソ": "so",
+    "ザ": "za", "ジ": "ji", "ズ": "zu", "ゼ": "ze", "ゾ": "zo",
+    "タ": "ta", "チ": "chi", "ツ": "tsu", "テ": "te", "ト": "to",
+    "ダ": "da", "ヂ": "ji", "ヅ": "zu", "デ": "de", "ド": "do",
+    "ナ": "na", "ニ": "ni", "ヌ": "nu", "ネ": "ne", "ノ": "no",
+    "ハ": "ha", "ヒ": "hi", "フ": "fu", "ヘ": "he", "ホ": "ho",
+    "バ": "ba", "ビ": "bi", "ブ": "bu", "ベ": "be", "ボ": "bo",
+    "パ": "pa", "ピ": "pi", "プ": "pu", "ペ": "pe", "ポ": "po",
+    "マ": "ma", "ミ": "mi", "ム": "mu", "メ": "me", "モ": "mo",
+    "ヤ": "ya", "ユ": "yu", "ヨ": "yo",
+    "ラ": "ra", "リ": "ri", "ル": "ru", "レ": "re", "ロ": "ro",
+    "ワ": "wa", "ヰ": "i", "ヱ": "e", "ヲ": "o",
+    "ン": "n", "ヴ": "vu",
 }
-KANA = {k: s for kana, sounds in _ROWS.items() for k, s in zip(kana, sounds.split())}
 _SMALL_Y, _SMALL_V = {"ャ": "ya", "ュ": "yu", "ョ": "yo"}, {"ァ": "a", "ィ": "i", "ゥ": "u", "ェ": "e", "ォ": "o"}
 HONORIFICS = r"(?:[\s\-]*(?:san|kun|sama|sensei|senpai|dono|さん|くん|さま|様|先生|君))$"
 PET = r"^(.{2,}?)[\-\s]?(?:pyon|rin|chii|cchi|tchi|chan|tan|nyan|pon|ちゃん)$"

@@ -1,7 +1,8 @@
 """Writing: upsert and partial updates of point tables kept as Parquet, and their life cycle.
 
-Plain Parquet has no MERGE: a new version is made by an anti-join and a union and swapped in, so readers see the old or
-the new table and a lost executor costs only its tasks.
+Plain Parquet has no MERGE: a new version is made by an anti-join and a union and swapped in by renaming the settings
+over the old ones, so readers see the old or the new table and a lost executor costs only its tasks.  The version before
+stays for those who are still reading it, and goes when the next one is made.
 """
 
 from __future__ import annotations
@@ -70,9 +71,15 @@ class Collection:
         return json.loads(self.spark.read.text(f"{self.path}/settings.json", wholetext=True).first()[0])
 
     def _write_settings(self, settings: dict) -> None:
-        out = self._fs.create(self._path(f"{self.path}/settings.json"), True)
+        """Written beside and renamed over the old ones: a reader finds the old or the new settings, never a part."""
+        new, place = self._path(f"{self.path}/settings.json.new"), self._path(f"{self.path}/settings.json")
+        out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(settings).encode()))
         out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, place, how)
 
     def create(self, schema: str, dims: dict[str, int], distance: str = "cosine", idf: bool = True) -> None:
         """Create the table, or check that the one there fits."""
@@ -90,17 +97,19 @@ class Collection:
         return self.spark.read.schema(s["schema"]).parquet(f"{self.path}/v{s['version']}")
 
     def replace(self, df: DataFrame) -> None:
-        """Write the next version, point the settings to it, drop the one before."""
+        """Write the next version, point the settings to it, drop the one before the last."""
         s = self.settings()
         df.write.mode("overwrite").parquet(f"{self.path}/v{s['version'] + 1}")
         self._write_settings(s | {"version": s["version"] + 1})
-        self._fs.delete(self._path(f"{self.path}/v{s['version']}"), True)
+        self._fs.delete(self._path(f"{self.path}/v{s['version'] - 1}"), True)
 
     def add(self, rows: DataFrame, key: str = "id", position: str | None = None) -> BatchResult:
         total = rows.count()
         if not total:
             return BatchResult()
         distinct = rows.select(key).distinct().count()
+        if distinct < total and position is None:
+            raise ValueError(f"{total - distinct} rows repeat a key: a position has to tell which is the last")
         self.replace(upsert(self.read(), rows, key, position))
         return BatchResult(total, distinct, 0, total - distinct)
 

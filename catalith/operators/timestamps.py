@@ -36,21 +36,20 @@ from pyspark.sql import functions as F
 from catalith.runtime import cut, require, shuffle_partitions
 
 # Month names as people write them: English, German, French, Italian, Spanish; fixed values.
-MONTH_NAMES = {
-    1: "january jan januar janvier gennaio enero",
-    2: "february feb februar février fevrier febbraio febrero",
-    3: "march mar märz maerz mars marzo",
-    4: "april apr avril aprile abril",
-    5: "may mai maggio mayo",
-    6: "june jun juni juin giugno junio",
-    7: "july jul juli juillet luglio julio",
-    8: "august aug août aout agosto",
-    9: "september sep sept septembre settembre septiembre",
-    10: "october oct oktober okt octobre ottobre octubre",
-    11: "november nov novembre noviembre",
-    12: "december dec dezember dez décembre decembre dicembre diciembre",
-}
-MONTHS = {name: number for number, names in MONTH_NAMES.items() for name in names.split()}
+MONTHS = {
+    "january": 1, "jan": 1, "januar": 1, "janvier": 1, "gennaio": 1, "enero": 1,
+    "february": 2, "feb": 2, "februar": 2, "février": 2, "fevrier": 2, "febbraio": 2, "febrero": 2,
+    "march": 3, "mar": 3, "märz": 3, "maerz": 3, "mars": 3, "marzo": 3,
+    "april": 4, "apr": 4, "avril": 4, "aprile": 4, "abril": 4,
+    "may": 5, "mai": 5, "maggio": 5, "mayo": 5,
+    "june": 6, "jun": 6, "juni": 6, "juin": 6, "giugno": 6, "junio": 6,
+    "july": 7, "jul": 7, "juli": 7, "juillet": 7, "luglio": 7, "julio": 7,
+    "august": 8, "aug": 8, "août": 8, "aout": 8, "agosto": 8,
+    "september": 9, "sep": 9, "sept": 9, "septembre": 9, "settembre": 9, "septiembre": 9,
+    "october": 10, "oct": 10, "oktober": 10, "okt": 10, "octobre": 10, "ottobre": 10, "octubre": 10,
+    "november": 11, "nov": 11, "novembre": 11, "noviembre": 11,
+    "december": 12, "dec": 12, "dezember": 12, "dez": 12, "décembre": 12, "decembre": 12, "dicembre": 12, "diciembre": 12,
+}
 
 # Zone abbreviations and their offsets in minutes; fixed values.
 ABBREVIATIONS = {

@@ -98,6 +98,18 @@ def nearest_multi(df: DataFrame, vectors_col: str, query: list[list[float]], k:
     return top_k(usable.withColumn("score", F.round(max_sim(query, F.col(vectors_col), distance), DIGITS)), k, id_col, threshold)
 
 
+def nearest_groups(df: DataFrame, key: str, vector_col: str, query: list[list[float]], k: int = 10, distance: str = "dot") -> DataFrame:
+    """(key, score): the k groups of vectors most similar to several query vectors, where each row holds one vector of its group.
+
+    Best similarities are aggregated before the exchange, so a group of any size is one row there.
+    """
+    usable = df.filter((F.size(vector_col) == len(query[0])) & ~F.exists(vector_col, lambda x: x.isNull()))
+    scores = [batch_scores(distance, q)(F.col(vector_col)) for q in query]
+    best = usable.select(key, *[s.alias(f"s{i}") for i, s in enumerate(scores)]).groupBy(key).agg(*[F.max(f"s{i}").alias(f"s{i}") for i in range(len(query))])
+    total = sum([F.col(f"s{i}") for i in range(1, len(query))], F.col("s0"))
+    return top_k(best.select(key, F.round(total, DIGITS).alias("score")), k, key)
+
+
 def sparse_scores(postings: DataFrame, query: SparseVector, points: int, idf: bool = True) -> DataFrame:
     """(id, score): sparse dot products with weights of rarity; ``postings``: (id, term, weight).
 

@@ -75,9 +75,12 @@ def anti_join_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    a, b = p.filter(F.col("p_size") <= 25).alias("a"), p.filter(F.col("p_size") > 25).alias("b")
+    # a match of 0.7 differs by 150 at most, so it stands in the same or the next stretch of prices
+    stretch = F.floor(F.col("p_retailprice") / 151)
+    a = p.filter(F.col("p_size") <= 25).withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).alias("a")
+    b = p.filter(F.col("p_size") > 25).withColumn("stretch", stretch).alias("b")
     near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")) / 500)
-    scored = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type"))).select(F.col("a.p_partkey").alias("part"), F.col("b.p_partkey").alias("other"), F.round(near, 6).alias("score"))
+    scored = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.stretch") == F.col("b.stretch"))).select(F.col("a.p_partkey").alias("part"), F.col("b.p_partkey").alias("other"), F.round(near, 6).alias("score"))
     return joins.best_match(scored, "part", "other", "other")
 
 

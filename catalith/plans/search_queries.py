@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalith.operators.contracts import Condition, Range, SearchRequest, SparseVector
 from catalith.operators.filters import apply_filters, scroll
 from catalith.operators.fusion import distribution_based, label_branches, overlap_pairs, reciprocal_rank, rerank, search
-from catalith.operators.vectors import clipped_dot, nearest, nearest_multi, sparse_scores, top_k
+from catalith.operators.vectors import clipped_dot, nearest, nearest_groups, sparse_scores, top_k
 from catalith.runtime import table
 
 
@@ -40,8 +40,8 @@ def clipped_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multivector_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("vectors"))
-    return nearest_multi(documents, "vectors", [_vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1)], 5, "dot", "label").select("label", F.round("score", 6).alias("score"))
+    query = [_vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1)]
+    return nearest_groups(table(spark, sf_dir, "embeddings"), "label", "embedding", query, 5).select("label", F.round("score", 6).alias("score"))
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,8 @@ def checkpoint_ready(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             named = os.path.join(tempfile.gettempdir(), f"catalith-checkpoint-{os.getpid()}")
         sc.setCheckpointDir(named)
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from catalith.functions.text import stable_id
 from catalith.operators.dedup import keep_last
+from catalith.runtime import shuffle_partitions
 
 
 class NotFound(LookupError):
@@ -59,16 +60,13 @@ def at_position(df: DataFrame, position: int, position_col: str) -> DataFrame:
 def by_title(df: DataFrame, title: str, position_col: str, strict: bool = False, column: str = "title") -> DataFrame:
     """The first exact match without regard to case, else the only partial one; strictly, several of either raise."""
     low, wanted = F.lower(F.col(column)), title.lower()
-    exact = df.filter(low == wanted).orderBy(position_col)
-    found = exact.limit(2).count()
+    found, n = df.agg(F.count_if(low == wanted), F.count_if(low.contains(wanted))).first()  # one scan of one column
     if found:
         if strict and found > 1:
             raise Ambiguous(title)
-        return exact.limit(1)
-    partial = df.filter(low.contains(wanted))
-    n = partial.limit(2).count()
+        return df.filter(low == wanted).orderBy(position_col).limit(1)
     if n == 1:
-        return partial
+        return df.filter(low.contains(wanted))
     if strict:
         raise Ambiguous(title) if n else NotFound(title)
     return df.limit(0)
@@ -83,10 +81,14 @@ def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def align(requests: DataFrame, results: DataFrame, url: str = "url", position: str = "pos", status: str = "status_code", success: str = "success") -> DataFrame:
-    """One row a request in its order, with the result of its URL; failed, missing and blocked ones have none."""
+def align(requests: DataFrame, results: DataFrame, url: str = "url", position: str = "pos", status: str = "status_code", success: str = "success", order: str | None = None) -> DataFrame:
+    """One row a request in its order, with the result of its URL; failed, missing and blocked ones have none.
+
+    Of several results of a URL the first by ``order`` stands, of equal ones that whose JSON comes first.
+    """
     usable = results.filter(F.col(success) & ~F.col(status).isin(403, 404, 405))
-    first = usable.groupBy(url).agg(F.first(F.struct(*[c for c in results.columns if c != url]), ignorenulls=True).alias("result"))
+    result = F.struct(*[c for c in results.columns if c != url])
+    first = usable.groupBy(url).agg(F.min_by(result, F.struct(*([order] if order else []), F.to_json(result))).alias("result"))
     return requests.join(first, url, "left").orderBy(position)
 
 
@@ -118,7 +120,8 @@ def with_sources(base: DataFrame, sources: dict[str, DataFrame], key: str) -> Da
 
 def numbered(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
     """Rows numbered in an order that is unique, without one task for all: by ranges, then by the ranges' sizes."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    n = shuffle_partitions(df.sparkSession)  # a stated number is never coalesced, so that every job cuts the same ranges
+    parts = df.repartitionByRange(n, F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     within = parts.withColumn(name, F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
     sizes = {r["_p"]: r["n"] for r in within.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row a partition
     start, at = {}, 0

@@ -79,9 +79,14 @@ def cache_get(keys: DataFrame, cache: DataFrame, now: Column, key: str = "key")
     return keys.join(live, key, "left").withColumn("hit", F.col("value").isNotNull())
 
 
-def cache_put(cache: DataFrame, entries: DataFrame, now: Column, ttl_seconds: int, key: str = "key") -> DataFrame:
-    """The cache with new entries; null values are returned to callers but not kept."""
-    new = entries.filter(F.col("value").isNotNull()).select(key, "value", (now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_seconds))).alias("expires"))
+def cache_put(cache: DataFrame, entries: DataFrame, now: Column, ttl_seconds: int, key: str = "key", position: str | None = None) -> DataFrame:
+    """The cache with new entries; null values are returned to callers but not kept.
+
+    Of several entries of a key the last by ``position`` stands; without one, the greatest value.
+    """
+    kept = entries.filter(F.col("value").isNotNull())
+    value = F.max_by("value", position) if position else F.max("value")
+    new = kept.groupBy(key).agg(value.alias("value")).withColumn("expires", now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_seconds)))
     return cache.join(new.select(key), key, "left_anti").unionByName(new)
 
 
