@@ -105,7 +105,7 @@ def name_forms(text: str) -> tuple[Form, ...]:
     for inner in re.findall(r"\(([^()]+)\)", t):  # a reading or another spelling in brackets
         out += name_forms(inner)
     t = re.sub(r"\s*\([^()]*\)?", "", t).strip() or ("" if out else t)
-    if not t or len(t) > 200:
+    if not t:
         return tuple(out)
     if KANJI.search(t):
         parts = [p for p in re.split(r"[\s・,、_\-]+", re.sub(HONORIFICS, "", t)) if p]
@@ -152,9 +152,17 @@ def edit_distance(a: str, b: str, most: int = 2) -> int:
     return min(row[-1], most + 1)
 
 
+LONGEST = 64  # letters of a word up to which slips are looked for; longer ones are no words of a language
+
+
 def deletions(word: str, most: int) -> set[str]:
-    """The word and what is left of it without up to ``most`` letters: words within that distance share one of them."""
+    """The word and what is left of it without up to ``most`` letters: words within that distance share one of them.
+
+    A word of over LONGEST letters only has itself, since what is left of it grows with the square of its length.
+    """
     found = level = {word}
+    if len(word) > LONGEST:
+        return found
     for _ in range(most):
         level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
         found = found | level
