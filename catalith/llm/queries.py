@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.llm.knn import request_neighbours
 from catalith.llm.leakage import leaked
-from catalith.llm.matching import match_characters
+from catalith.llm.matching import character_calibration, match_characters
 from catalith.llm.packing import fill_report, pack
 from catalith.llm.privacy import find_personal, sanitise
 from catalith.llm.survivor import NOTHING, fuse
@@ -40,6 +40,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("profile_id_a"), F.col("b").alias("profile_id_b"))
 
 
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every profile with a name: profiles of one label mean the same character."""
+    labels = link_variants(table(spark, sf_dir, "character_profiles"))
+    return labels.select(F.col("id").alias("profile_id"), "label")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of rows of both character tables that mean the same character of the same show."""
     return match_characters(table(spark, sf_dir, "mal_characters"), table(spark, sf_dir, "anilist_characters")).select("mal_id", "anilist_id")
@@ -50,6 +56,11 @@ def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_characters(table(spark, sf_dir, "mal_characters"), table(spark, sf_dir, "anilist_characters"))
 
 
+def p5_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the confidence of pairs left out of the fit is the share of them that is the same, by tenths."""
+    return character_calibration(table(spark, sf_dir, "mal_characters"), table(spark, sf_dir, "anilist_characters"))
+
+
 def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which container of each kind every document, or part of one, goes to."""
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
@@ -82,7 +93,7 @@ def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(documents, find_personal(documents)).select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_status": p3_status, "p4_found": p4_found, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p7_dot": p7_dot, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_status": p3_status, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_confidence": p5_confidence, "p5_calibration": p5_calibration, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p7_dot": p7_dot, "p8_found": p8_found, "p9_found": p9_found, "p9_sanitised": p9_sanitised}
 SQL: dict[str, str] = {
     # status: the most recent that says something, at equal times from the more trusted feed, then the smaller id
     "p3_status": f"""

@@ -14,7 +14,8 @@ Keys are aggregated before joining, so a group or a key may hold any share of al
 that are the result.
 
 Cases: null group keys link nothing; null or empty arrays and names without letters give no form; a profile without a
-form stays alone; repeated profiles link with each other; texts over 200 characters are no names.
+form stays alone; repeated profiles link with each other; in words of over 64 letters slips are not looked for, the
+words themselves link as any.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ def _rematches(owned: DataFrame) -> DataFrame:
     pick = lambda *tests: F.transform(F.filter("all", lambda f: _any(f, tests)), lambda f: f["key"])
     marks, words, alone, full = pick(("mark", "")), pick(("fits", "w:")), pick(("weak", "w:")), pick(("full", "c:"))
     marked = F.flatten(F.transform(marks, lambda m: F.transform(words, lambda w: F.concat_ws("\t", m, w))))
-    part = lambda k: F.substring(k, 3, 200)
+    part = lambda k: F.substr(k, F.lit(3))
     wider = F.flatten(F.transform(alone, lambda x: F.transform(F.filter(words, lambda w: w != x), lambda w: F.concat(F.lit("c:"), F.least(part(x), part(w)), F.greatest(part(x), part(w))))))
     richer = owned.filter("named").select("g", "label", F.explode(F.array_distinct(F.concat(marked, wider, full))).alias("key"))
     return nameless.select("g", "l.id", "l.key").unionByName(richer.select("g", F.col("label").alias("id"), F.concat_ws("\t", "g", "key").alias("key")))

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from catalith.llm import matching
 from catalith.llm.components import components
 from catalith.llm.matching import match_characters, title_key
 from catalith.llm.variants import link_variants, variant_pairs
@@ -63,4 +67,24 @@ def test_matching(spark):
     got = match_characters(mal, anilist).collect()
     assert {(r["mal_id"], r["anilist_id"]) for r in got} == {(1, 10), (1, 11), (5, 13)} and all(0.5 <= r["confidence"] <= 1 for r in got)
     assert match_characters(mal.limit(0), anilist).count() == 0
+    twice = mal.unionByName(mal.filter("mal_id = 5").withColumn("mal_id", F.lit(6).cast("bigint")))
+    assert {r["mal_id"] for r in match_characters(twice, anilist).filter("anilist_id = 13").collect()} == {5, 6}
     assert title_key("The Résumé: Part-2 (TV)") == "resume part 2"
+
+
+def test_pruning_changes_nothing(spark):
+    rng = random.Random(7)
+    part = lambda: "".join(rng.choice("kstnhmr") + rng.choice("aiueo") for _ in range(3)).capitalize()
+    cast = [(i, f"{part()} {part()}", rng.choice(["Male", "Female"]), str(rng.randint(15, 20)), f"Show {i % 4}") for i in range(120)]
+    schema = "id bigint, names array<string>, native string, actors array<string>, languages array<string>, gender string, age string, titles array<string>"
+    left = spark.createDataFrame([(i, [name], None, [], [], g, age, [title]) for i, name, g, age, title in cast], schema)
+    right = spark.createDataFrame([(1000 + i, [name if i % 3 else name[:-1]], None, [], [], g, age if i % 2 else None, [title]) for i, name, g, age, title in cast], schema)
+    a, b = matching.documents(left), matching.documents(right)
+    kept, every = (sorted(map(tuple, matching.retrieve(a, b, pruned).collect())) for pruned in (True, False))
+    assert kept == every and len(kept) >= 120
+
+
+def test_few_telling_pairs_leave_the_weights_near_the_prior():
+    x = np.random.default_rng(1).standard_normal((4, len(matching.PRIOR)))
+    assert np.allclose(matching.fit_logistic(x[:0], np.zeros(0), matching.PRIOR), matching.PRIOR)
+    assert np.abs(matching.fit_logistic(x, np.array([0.0, 1.0, 0.0, 1.0]), matching.PRIOR) - matching.PRIOR).max() < 2.5
