@@ -246,7 +246,7 @@ def find_personal(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         labelled = cut(scored.withColumn("label", (_best() & (F.col("disclosure") >= (NEXT if turn else FIRST))).cast("double")))
     shares, base = _shares(labelled)
     shares = cut(shares)
-    everywhere = named.select(*MENTION).unionByName(_small(texts, shares))
+    everywhere = named.select(*MENTION).unionByName(cut(_small(texts, shares)))
     scored = _disclosed(everywhere, shares, base, words=True)
     names = scored.withColumn("best", _best()).filter(F.col("best") & (F.col("disclosure") >= DISCLOSURE))
     return items.unionByName(names.select("doc_id", F.lit("name").alias("pii_type"), "start", "end", "surface"))
