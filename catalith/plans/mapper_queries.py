@@ -250,7 +250,77 @@ def xml_anime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", "title", "title_english", joined("synonyms").alias("synonyms"), "type", "episode_count", "start_date", "score", "scored_by", F.size("characters").alias("characters"), F.col("related")[0]["_type"].alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (map_mal_anime, map_mal_character, map_mal_episode, map_anilist_anime, map_anilist_character, map_kitsu_anime, map_kitsu_character, map_kitsu_episode, map_schedule_anime, map_anisearch_anime, map_anisearch_character, map_anisearch_episode, map_planet_anime, map_planet_character, page_mal_anime, page_pieces, xml_anime)}
+def _html(*parts: Column | str) -> Column:
+    return F.concat(*[LIT(p) if isinstance(p, str) else F.coalesce(p, LIT("")) for p in parts])
+
+
+def page_mal_character(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _actors(spark, sf_dir, "mal_characters").filter("name is not null")
+    row = lambda t: _html('<tr><td><a href="/anime/1/x"><img data-src="p"></a></td><td><a href="https://myanimelist.net/anime/1/x">', _escaped(t), "</a><small>", F.col("role"), "</small></td></tr>")
+    actor = lambda v: _html('<tr><td><a href="https://myanimelist.net/people/5/y">', _escaped(v["name"]), "</a><small>", v["language"], "</small></td></tr>")
+    table_of = lambda rows: _html("<table>", F.array_join(rows, "\n"), "</table>")
+    html = _html(
+        '<div id="content"><h2 class="normal_header">', _escaped(F.col("name")), " (名)</h2><div class=\"normal_header\">Animeography</div>", table_of(F.transform(F.coalesce("animeography", F.array().cast("array<string>")), row)),
+        '<div class="normal_header">Mangaography</div><table><tr><td><a href="/manga/2/z">Book</a><small>Main</small></td></tr></table><div class="normal_header">Voice Actors</div>', table_of(F.transform("voice_actors", actor)), "</div>",
+    )
+    x = extract.extract(c.select("id", html.alias("html")), extract.MAL_CHARACTER, "id", "html")
+    name = extract.name_and_native(F.col("header"))
+    return x.select("id", name["name"].alias("name"), name["native"].alias("native"), fields(extract.named_rows(F.col("animeography")), "title", "role").alias("ography"), fields(F.col("mangaography"), "title", "role", "url").alias("manga"), fields(F.col("voice_actors"), "name", "language").alias("voices"))
+
+
+def page_mal_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _episodes(spark, sf_dir)
+    html = _html(
+        '<h2 class="fs18">#', F.col("number").cast("string"), " - T", F.col("row_id").cast("string"), F.when(F.col("is_filler"), LIT(" Filler")), '</h2><p class="fn-grey2">Romaji (題)</p><div class="di-tc ar">Duration: 00:24:10 Aired: Jan 5, 2020</div>',
+        '<table><tr><td><a class="fw-b" href="/character/7/n">Hero</a> <small>Main</small><p class="pb8"><a href="/people/3/v">Voice</a> (Japanese)</p></td></tr><tr><td><a class="fw-b" href="/people/', F.col("row_id").cast("string"), '/s">Staff</a><p class="pr12">Director</p></td></tr></table>',
+    )
+    x = extract.extract(e.select("row_id", html.alias("html")), extract.MAL_EPISODE, "row_id", "html")
+    info = extract.episode_title_info(F.col("header"), F.col("subtitle"))
+    kept = lambda c: F.filter(c, lambda r: r["name"].isNotNull())
+    return x.select("row_id", info["title"].alias("title"), info["romaji"].alias("romaji"), info["filler"].alias("filler"), fields(kept(F.col("characters")), "name", "role", "voice").alias("characters"), fields(kept(F.col("staff")), "name", "role", "url").alias("staff"), F.regexp_extract("box", r"Aired: (\w+ \d+, \d+)", 1).alias("aired"))
+
+
+def page_planet_character(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _actors(spark, sf_dir, "anilist_characters").filter("name is not null")
+    voice = lambda v: _html('<div class="flag flag', F.when(v["language"] == "Japanese", "JP").otherwise("XX"), '"><a href="/people/y">', _escaped(v["name"]), "</a></div>")
+    row = lambda t: _html('<tr><td><a href="/anime/x"><img></a><a href="/anime/x">', _escaped(t), "</a></td><td>Main</td><td>", F.array_join(F.transform("voice_actors", voice), ""), "</td></tr>")
+    html = _html(
+        '<h1 itemprop="name">', _escaped(F.col("name")), '</h1><h2 class="aka">Aka: One, Two</h2><section class="pure-g entryBar"><div>Gender: ', F.coalesce("gender", LIT("?")), '</div><div>Hair Color: Dark Red</div></section><h3 class="EntryMetadata__title">Age</h3><div class="EntryMetadata__value">', F.coalesce("age", LIT(" ")),
+        '</div><h3 class="EntryMetadata__title">Eyes</h3><div class="EntryMetadata__value">red</div><div itemprop="description"><p>Some <b>text</b>.</p></div><a href="/characters/tags/calm">Calm</a><a href="/characters/tags/tall">Tall</a><h3>Anime Roles</h3><table><tbody>',
+        F.array_join(F.transform(F.coalesce("media_titles", F.array().cast("array<string>")), row), ""), '</tbody></table><h3>Manga Roles</h3><table><tbody><tr><td><a href="/manga/b">Book</a></td><td></td></tr></tbody></table><a href="/characters/top-loved">#1,157</a>',
+    )
+    x = extract.extract(c.select("id", html.alias("html")), extract.PLANET_CHARACTER, "id", "html")
+    bar, more = extract.entry_bar(F.col("bar")), extract.titled_values(F.col("titles"), F.col("values"))
+    roles, manga = extract.planet_roles(F.col("anime_roles")), extract.planet_roles(F.col("manga_roles"))
+    return x.select(
+        "id", "name", joined(extract.listed_names(F.col("aka"))).alias("aka"), bar["gender"].alias("gender"), bar["hair_color"].alias("hair"), F.try_element_at(more, LIT("Age")).alias("age"), F.try_element_at(more, LIT("Eyes")).alias("eyes"), "description", joined("tags").alias("tags"),
+        fields(roles, "title", "role").alias("roles"), fields(F.flatten(F.transform(roles, lambda r: r["voice_actors"])), "name", "language").alias("voices"), fields(manga, "title", "role", "url").alias("manga"), F.regexp_replace(F.regexp_extract("loved", r"([\d,]+)", 1), ",", "").cast("int").alias("loved"),
+    )
+
+
+def page_anisearch_character(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _actors(spark, sf_dir, "mal_characters").filter("name is not null")
+    actor = lambda v: _html('<a href="person/1">', _escaped(v["name"]), "</a>")
+    cover = lambda t: _html('<li><a href="anime/5"><span class="title">', _escaped(t), "</span></a></li>")
+    html = _html('<h1 id="htitle">', _escaped(F.col("name")), '</h1><ul class="xlist infoblock"><li><div class="title" lang="ja"><span class="grey">', F.col("name_native"), "</span></div>", F.array_join(F.transform("voice_actors", actor), " "), '</li></ul><ul class="cloud"><li><a class="gt">Calm</a></li></ul><ul class="covers">', F.array_join(F.transform(F.coalesce("animeography", F.array().cast("array<string>")), cover), ""), "</ul>")
+    x = extract.extract(c.select("id", html.alias("html")), extract.ANISEARCH_CHARACTER, "id", "html")
+    return x.select("id", "name", joined("tags").alias("tags"), fields(extract.block_actors(F.col("blocks")), "name", "language").alias("voices"), fields(extract.roles_of(F.col("ography")), "title", "url", "role").alias("roles"))
+
+
+def page_anisearch_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _episodes(spark, sf_dir)
+    row = _html(
+        '<tr data-episode="true"><th itemprop="episodeNumber"><b>', F.col("number").cast("string"), F.when(F.col("is_filler"), LIT("<br><span>Filler</span>")), '</b></th><td data-title="Runtime"><div lang="ja">24 min</div></td><td data-title="Date of Original Release"><div lang="ja">', F.col("day"),
+        '</div></td><td data-title="Title"><div lang="en"><span itemprop="name">E', F.col("row_id").cast("string"), '</span></div><div lang="ja"><span itemprop="name">Romaji (題)</span></div></td></tr>',
+    )
+    html = _html('<table class="responsive episodes"><tr><th>Head</th></tr>', row, '</table><section id="relations_anime"><table><tbody><tr><th scope="row"><span>Sequel</span><a href="anime/9">Next</a></th></tr></tbody></table></section>')
+    pages = e.select("row_id", html.alias("html"))
+    related = extract.extract(pages, extract.ANISEARCH_RELATIONS, "row_id", "html").select("row_id", fields(F.col("anime"), "relation_type", "title", "url").alias("related"), F.size("manga").alias("manga"))
+    rows = extract.extract(pages, extract.ANISEARCH_EPISODES, "row_id", "html").select("row_id", F.explode(extract.episode_rows(F.col("rows"))).alias("e")).select("row_id", "e.*")
+    return rows.join(related, "row_id")
+
+
+QUERIES = {f.__name__: f for f in (page_mal_character, page_mal_episode, page_planet_character, page_anisearch_character, page_anisearch_episodes, map_mal_anime, map_mal_character, map_mal_episode, map_anilist_anime, map_anilist_character, map_kitsu_anime, map_kitsu_character, map_kitsu_episode, map_schedule_anime, map_anisearch_anime, map_anisearch_character, map_anisearch_episode, map_planet_anime, map_planet_character, page_mal_anime, page_pieces, xml_anime)}
 
 
 def _norm(column: str, values: ValueSet) -> str:
@@ -267,7 +337,26 @@ _VOICES = "array_to_string(list_transform(coalesce(voice_actors, []), lambda v:
 _JAPAN = "strftime(day::TIMESTAMP - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S')"
 _MONTH_SEASON = "CASE WHEN k % 9 + 1 IN (1, 2) THEN 'WINTER' WHEN k % 9 + 1 IN (3, 4, 5) THEN 'SPRING' WHEN k % 9 + 1 IN (6, 7, 8) THEN 'SUMMER' ELSE 'FALL' END"
 
+
+def _said(column: str) -> str:
+    """What a page shows of a text."""
+    return rf"nullif(trim(regexp_replace({column}, '[\s\x{{3000}}\x{{A0}}]+', ' ', 'g')), '')"
+
+
+def _voices_said(language: str) -> str:
+    return f"array_to_string(list_transform(coalesce(voice_actors, []), lambda v: concat_ws('/', {_said('v.name')}, {language})), '|')"
+
+
 SQL = {
+    "page_mal_character": f"""SELECT mal_id AS id, {_said("name")} AS name, '名' AS native, array_to_string(list_transform(list_filter(coalesce(animeography, []), lambda t: trim(t) <> ''), lambda t: concat_ws('/', {_said("t")}, nullif(role, ''))), '|') AS ography,
+        'Book/Main//manga/2/z' AS manga, {_voices_said("nullif(v.language, '')")} AS voices FROM mal_characters WHERE name IS NOT NULL""",
+    "page_mal_episode": f"""WITH {_E} SELECT row_id, 'T' || row_id AS title, 'Romaji' AS romaji, coalesce(is_filler, false) AS filler, 'Hero/Main/Voice (Japanese)' AS characters, 'Staff/Director//people/' || row_id || '/s' AS staff, 'Jan 5, 2020' AS aired FROM e""",
+    "page_planet_character": f"""SELECT anilist_id AS id, {_said("name")} AS name, 'One|Two' AS aka, coalesce(gender, '?') AS gender, 'Dark Red' AS hair, nullif(trim(age), '') AS age, 'red' AS eyes, 'Some text.' AS description, 'Calm|Tall' AS tags,
+        array_to_string(list_transform(list_filter(coalesce(media_titles, []), lambda t: trim(t) <> ''), lambda t: {_said("t")} || '/Main'), '|') AS roles,
+        array_to_string(flatten(list_transform(list_filter(coalesce(media_titles, []), lambda t: trim(t) <> ''), lambda t: list_transform(list_filter(coalesce(voice_actors, []), lambda v: v.language = 'Japanese'), lambda v: concat_ws('/', {_said("v.name")}, 'jp')))), '|') AS voices,
+        'Book//manga/b' AS manga, 1157 AS loved FROM anilist_characters WHERE name IS NOT NULL""",
+    "page_anisearch_character": f"""SELECT mal_id AS id, {_said("name")} AS name, 'Calm' AS tags, {_voices_said("'Japanese'")} AS voices, array_to_string(list_transform(list_filter(coalesce(animeography, []), lambda t: trim(t) <> ''), lambda t: {_said("t")} || '/anime/5'), '|') AS roles FROM mal_characters WHERE name IS NOT NULL""",
+    "page_anisearch_episodes": f"""WITH {_E} SELECT row_id, number AS episode_number, coalesce(is_filler, false) AS is_filler, false AS is_recap, 1440 AS duration, day AS aired, 'E' || row_id AS title, 'Romaji' AS title_romaji, '題' AS title_japanese, 'Sequel/Next/anime/9' AS related, 0 AS manga FROM e WHERE number IS NOT NULL""",
     "map_mal_anime": f"""WITH {_R} SELECT source, title, {_TYPE} AS type, {_STATUS} AS status, year::INT AS year, {_SEASON} AS season, n AS episode_count, synopsis, CASE WHEN k = 1 THEN 'Made late.' END AS background, {_GENRES} AS genres,
         'Studio ' || k AS studios, CASE WHEN k < 5 THEN 'SIDE_STORY/u1' ELSE 'PREQUEL/u1' END AS anime, 'ADAPTATION/u2' AS material, CASE WHEN k > 2 THEN id END AS scored_by FROM r""",
     "map_mal_character": f"""SELECT 'https://mal.example/character/' || mal_id AS source, name, name_native, favorites, CASE WHEN len(animeography) > 0 AND role IS NOT NULL THEN {_norm("role", enums.ROLE)} ELSE '' END AS roles, 'b|a' AS images, {_VOICES} AS voices,

@@ -97,6 +97,26 @@ def select(root: Node, selector: str) -> list[Node]:
     return found
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 div".split())
+
+
+def section(root: Node, heading: str) -> set[int]:
+    """The nodes, by identity, from a heading of this text on to the next one with its tag and class."""
+    inside: set[int] = set()
+    kind = None
+    for n in root.walk():
+        if n.tag in HEADINGS:
+            if kind is None:
+                if " ".join(n.text().split()) == heading:
+                    kind = n.tag, n.attrs.get("class")
+                continue
+            if kind == (n.tag, n.attrs.get("class")):
+                break
+        if kind is not None:
+            inside.add(id(n))
+    return inside
+
+
 @dataclass(frozen=True)
 class Take:
     """One field of a schema."""
@@ -105,6 +125,7 @@ class Take:
     attribute: str | None = None  # else the text
     many: bool = False
     rows: dict[str, Take] = field(default_factory=dict)
+    under: str | None = None  # only what stands between a heading of this text and the next heading of its kind
 
     def ddl(self) -> str:
         inner = f"struct<{','.join(f'{k}:{t.ddl()}' for k, t in self.rows.items())}>" if self.rows else "string"
@@ -112,8 +133,12 @@ class Take:
 
     def read(self, root: Node) -> Any:
         nodes = select(root, self.selector) if self.selector else [root]
+        if self.under:
+            inside = section(root, self.under)
+            nodes = [n for n in nodes if id(n) in inside]
         one = (lambda n: {k: t.read(n) for k, t in self.rows.items()}) if self.rows else (lambda n: n.attrs.get(self.attribute) if self.attribute else " ".join(n.text().split()) or None)
-        return [v for n in nodes if (v := one(n)) is not None] if self.many else one(nodes[0]) if nodes else None
+        values = (v for n in nodes if (v := one(n)) is not None)
+        return list(values) if self.many else next(values, None)
 
 
 def extract(pages: DataFrame, schema: dict[str, Take], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -243,8 +268,123 @@ CHARACTER_ROWS = {"name": Take("a"), "url": Take("a", "href"), "role": Take("sma
 MAL_ANIME = {"title": Take("h1.title-name"), "synopsis": Take("p[itemprop=description]"), "score": Take("div.score-label"), "genres": Take("span[itemprop=genre]", many=True), "cover": Take("img[itemprop=image]", "data-src"), "related": Take("table.entries-table tr", many=True, rows={"relation": Take("td.ar"), "title": Take("li a"), "url": Take("li a", "href")})}
 PLANET_ANIME = {"name": Take("h1[itemprop=name]"), "alt_title": Take("h2.aka"), "rank": Take("div[itemprop=aggregateRating]"), "tags": Take("div.tags li a", many=True), "studios": Take("section.entryBar a[href*=/studios/]", many=True), "cover": Take("img.screenshots", "src")}
 ANISEARCH_ANIME = {"title": Take("h1#htitle"), "type": Take("div.type"), "studio": Take("div.company a"), "studio_url": Take("div.company a", "href"), "genres": Take("ul.cloud a.gg", many=True), "tags": Take("ul.cloud a.gt", many=True), "cover_image": Take("img#details-cover", "src")}
+_OGRAPHY = {"title": Take("a[href*=/]"), "url": Take("a[href*=/]", "href"), "role": Take("small")}
+MAL_CHARACTER = {
+    "header": Take("h2.normal_header"),
+    "image": Take("img.portrait", "data-src"),
+    "animeography": Take("tr", many=True, under="Animeography", rows=_OGRAPHY),
+    "mangaography": Take("tr", many=True, under="Mangaography", rows=_OGRAPHY),
+    "voice_actors": Take("tr", many=True, under="Voice Actors", rows={"name": Take("a[href*=/people/]"), "url": Take("a[href*=/people/]", "href"), "language": Take("small")}),
+}
+MAL_EPISODE = {
+    "header": Take("h2.fs18"),
+    "subtitle": Take("p.fn-grey2"),
+    "box": Take("div.di-tc.ar"),
+    "characters": Take("tr", many=True, rows={"name": Take("a.fw-b[href*=/character/]"), "url": Take("a.fw-b[href*=/character/]", "href"), "role": Take("small"), "voice": Take("p.pb8")}),
+    "staff": Take("tr", many=True, rows={"name": Take("a.fw-b[href*=/people/]"), "url": Take("a.fw-b[href*=/people/]", "href"), "role": Take("p.pr12")}),
+}
+_PLANET_ROLES = {"title": Take("a[href^=/]"), "url": Take("a[href^=/]", "href"), "cells": Take("td", many=True, rows={"text": Take("")}), "voices": Take("div.flag", many=True, rows={"flag": Take("", "class"), "name": Take("a[href^=/people/]"), "url": Take("a[href^=/people/]", "href")})}
+PLANET_CHARACTER = {
+    "name": Take("h1[itemprop=name]"),
+    "aka": Take("h2.aka"),
+    "bar": Take("section.entryBar div", many=True),
+    "titles": Take("h3.EntryMetadata__title", many=True, rows={"text": Take("")}),
+    "values": Take("div.EntryMetadata__value", many=True, rows={"text": Take("")}),
+    "description": Take("div[itemprop=description]"),
+    "tags": Take("a[href^=/characters/tags/]", many=True),
+    "anime_roles": Take("tr", many=True, under="Anime Roles", rows=_PLANET_ROLES),
+    "manga_roles": Take("tr", many=True, under="Manga Roles", rows=_PLANET_ROLES),
+    "loved": Take("a[href*=/characters/top-loved]"),
+}
+_ANISEARCH_RELATION = {"relation_type": Take("th span"), "title": Take("th a"), "url": Take("th a", "href")}
+ANISEARCH_RELATIONS = {"anime": Take("section#relations_anime tbody tr", many=True, rows=_ANISEARCH_RELATION), "manga": Take("section#relations_manga tbody tr", many=True, rows=_ANISEARCH_RELATION)}
+ANISEARCH_CHARACTER = {
+    "name": Take("h1#htitle"),
+    "blocks": Take("ul.infoblock li", many=True, rows={"language": Take("div.title", "lang"), "native": Take("span.grey"), "actors": Take("a[href^=person/]", many=True)}),
+    "tags": Take("ul.cloud a.gt", many=True),
+    "ography": Take("ul.covers a", many=True, rows={"title": Take("span.title"), "url": Take("", "href")}),
+}
+ANISEARCH_EPISODES = {
+    "rows": Take(
+        "table.episodes tr[data-episode=true]",
+        many=True,
+        rows={
+            "number": Take("th[itemprop=episodeNumber]"),
+            "runtime": Take("td[data-title=Runtime] div[lang=ja]"),
+            "released": Take("td[data-title^=Date] div[lang=ja]"),
+            "title": Take("td[data-title=Title] div[lang=en] span[itemprop=name]"),
+            "title_ja": Take("td[data-title=Title] div[lang=ja] span[itemprop=name]"),
+        },
+    )
+}
 REFERENCES = {"rows": Take("table tr", many=True, rows=CHARACTER_ROWS)}
 
+# Languages of voice actors by the flag or the code a page shows; fixed values.
+FLAGS = {"JP": "jp", "US": "us", "ES": "es", "FR": "fr", "DE": "de", "KO": "ko"}
+LANGUAGES = {"ja": "Japanese", "en": "English", "de": "German", "fr": "French", "it": "Italian", "es": "Spanish", "ko": "Korean", "zh": "Chinese", "pt": "Portuguese"}
+
+
+def named_rows(rows: Column) -> Column:
+    """Rows that show a title or a name and lead somewhere."""
+    return F.filter(rows, lambda r: F.coalesce(F.length(r["url"]) > 0, F.lit(False)) & (F.length(r["title"]) > 0))
+
+
+def planet_roles(rows: Column) -> Column:
+    """Title, address, role and voice actors by language of a character's roles; the role stands in the second cell."""
+
+    def voice(v: Column) -> Column:
+        flag = F.regexp_extract(v["flag"], r"\bflag([A-Z]{2})\b", 1)
+        return F.struct(v["name"].alias("name"), F.try_element_at(F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair]), flag).alias("language"), v["url"].alias("url"))
+
+    whole = F.filter(named_rows(rows), lambda r: F.size(r["cells"]) > 1)
+    return F.transform(
+        whole,
+        lambda r: F.struct(r["title"].alias("title"), r["url"].alias("url"), _or_null(r["cells"][1]["text"]).alias("role"), F.filter(F.transform(r["voices"], voice), lambda v: v["language"].isNotNull()).alias("voice_actors")),
+    )
+
+
+def entry_bar(cells: Column) -> Column:
+    """Gender and hair colour of the bar below a character's name."""
+    after = lambda label: F.try_element_at(F.filter(F.transform(cells, lambda c: _or_null(F.regexp_extract(c, rf"(?i){label}:\s*(.+)", 1))), lambda v: v.isNotNull()), F.lit(1))
+    return F.struct(after("Gender").alias("gender"), after("Hair Color").alias("hair_color"))
+
+
+def listed_names(aka: Column) -> Column:
+    """The names of `Aka: A, B`."""
+    parts = F.split(F.regexp_replace(aka, r"(?i)^\s*aka:\s*", ""), ",")
+    return F.filter(F.transform(parts, lambda n: F.trim(n)), lambda n: F.length(n) > 0)
+
+
+def titled_values(titles: Column, values: Column) -> Column:
+    """A map of titles and values standing side by side, blanks left out."""
+    pairs = F.zip_with(titles, values, lambda k, v: F.struct(F.trim(k["text"]).alias("k"), F.trim(v["text"]).alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda p: (F.length(p["k"]) > 0) & (F.length(p["v"]) > 0)))
+
+
+def block_actors(blocks: Column) -> Column:
+    """Name and language of the voice actors of a character's language blocks."""
+    language = lambda code: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), code), code)
+    return F.flatten(F.transform(blocks, lambda b: F.transform(b["actors"], lambda a: F.struct(a.alias("name"), language(b["language"]).alias("language")))))
+
+
+def roles_of(ography: Column) -> Column:
+    """Titles and addresses as roles whose kind is not known."""
+    return F.transform(named_rows(ography), lambda o: F.struct(o["title"].alias("title"), o["url"].alias("url"), F.lit(None).cast("string").alias("role")))
+
+
+def episode_rows(rows: Column) -> Column:
+    """Number, flags, seconds, date and titles of an episode table; rows without a number are left out."""
+
+    def typed(r: Column) -> Column:
+        native = name_and_native(r["title_ja"])
+        return F.struct(
+            F.regexp_extract(r["number"], r"(\d+)", 1).try_cast("int").alias("episode_number"), F.coalesce(r["number"].rlike("(?i)filler"), F.lit(False)).alias("is_filler"), F.coalesce(r["number"].rlike("(?i)recap"), F.lit(False)).alias("is_recap"),
+            (F.regexp_extract(r["runtime"], r"(?i)(\d+)\s*min", 1).try_cast("int") * 60).alias("duration"), r["released"].alias("aired"), r["title"].alias("title"), native["name"].alias("title_romaji"), native["native"].alias("title_japanese"),
+        )
+
+    return F.filter(F.transform(rows, typed), lambda e: e["episode_number"].isNotNull())
+
+
 # Episode, character and whole-record shapes of one XML feed; fixed values.
 ANIME_XML = """id STRING, type STRING, episodecount INT, startdate STRING, enddate STRING, description STRING, titles STRUCT<title: ARRAY<STRUCT<_VALUE: STRING, _type: STRING, `_xml:lang`: STRING>>>,
  ratings STRUCT<permanent: STRUCT<_VALUE: DOUBLE, _count: BIGINT>>, relatedanime STRUCT<anime: ARRAY<STRUCT<_VALUE: STRING, _id: STRING, _type: STRING>>>,
