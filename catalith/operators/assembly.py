@@ -154,5 +154,5 @@ def statistics_map(df: DataFrame, sources: dict[str, Column]) -> Column:
 
 def synopsis_by_rank(anidb: Column, mal: Column, schedule: Column, kitsu: Column, planet: Column, anilist: Column) -> Column:
     """The best source's synopsis, cleaned of what that source adds."""
-    bare = lambda c: F.regexp_replace(c, r"(?i)\s*\(source:[^)]*\)\s*$|\[written by [^\]]*\]\s*$", "")
+    bare = lambda c: F.regexp_replace(c, r"(?i)\s*(?:\(source:[^)]*\)|\[written by [^\]]*\])\s*$", "")
     return text.first_synopsis(F.regexp_replace(anidb, r"https?://\S+\s*\[([^\]]*)\]", "$1"), bare(mal), text.tags_to_spaces(schedule), bare(kitsu), planet, F.regexp_replace(anilist, r"<[^>]*>", ""))

@@ -248,6 +248,8 @@ SQL = {
     "snapshot_diff": f"WITH {_DIFF} SELECT * FROM diff",
     "diff_frequency": f"WITH {_DIFF} SELECT field, count(*) AS n FROM (SELECT unnest(string_split(fields, ',')) AS field FROM diff WHERE fields <> '') GROUP BY field ORDER BY n DESC, field LIMIT 10",
     "anti_join_urls": f"WITH u AS (SELECT record_id, feed_id, unnest(sources) AS url FROM anime_records) SELECT record_id, url FROM u WHERE feed_id >= 6 AND {_KEY.format('url')} NOT IN (SELECT {_KEY.format('url')} FROM u WHERE feed_id < 6)",
+    "deterministic_ids": """WITH d AS (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('_', p_brand, p_partkey))) AS h FROM part)
+ SELECT p_partkey, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', substr('89ab', (('0x' || h[17])::INT % 4) + 1, 1), h[18:20], '-', h[21:32]) AS uuid FROM d""",
     "best_match": """WITH s AS (SELECT a.p_partkey AS part, b.p_partkey AS other, round(greatest(0.0, 1 - abs(a.p_retailprice - b.p_retailprice) / 500), 6) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type WHERE a.p_size <= 25 AND b.p_size > 25)
  SELECT part, other, score FROM s WHERE true QUALIFY row_number() OVER (PARTITION BY part ORDER BY score >= 0.9 DESC, CASE WHEN score >= 0.9 THEN 0 ELSE score END DESC, other) = 1 AND score >= 0.7""",
     "as_of_join": """WITH c AS (SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT p.event_id, p.user_id, c.click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.plans import catalogue_queries, data_queries, function_queries, mapper_queries, more_queries, search_queries
+from catalith.plans import assembly_queries, catalogue_queries, data_queries, function_queries, mapper_queries, more_queries, search_queries
 
-MODULES = [search_queries, catalogue_queries, more_queries, mapper_queries, function_queries, data_queries]
+MODULES = [search_queries, catalogue_queries, more_queries, mapper_queries, function_queries, assembly_queries, data_queries]
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
