@@ -115,7 +115,17 @@ SENTENCE_END = re.compile(r"[.!?]\s|[。！？]")
 MARKS = {"email": "\ue001", "phone": "\ue002", "id_number": "\ue003", "address": "\ue004"}  # stand for items in contexts
 
 # Words with which no name begins; fixed values.
-NO_NAME = set("the a an my your our his her their this that to for from of in on at all everyone der die das dem den ein eine le la les un une el los las una il lo gli i de des du di da y e et und and".split())
+NO_NAME = set(
+    # articles, prepositions and conjunctions of the six languages that are written in Latin letters
+    """
+    the a an my your our his her their this that to for from of in on at by with under over after before as when where while if and or all everyone
+    der die das dem den des ein eine am im auf aus bei mit nach von vor zu zum zur über unter als bis denn dass seit weil wenn wo während ob und oder alle viele
+    le la les un une des du de au aux dans sur sous pour par avec sans chez quand où et ou tous
+    el los las una unos del al en con por para sin sobre desde hasta cuando donde y o todos
+    il lo gli i uno di da nel nella su per tra fra quando dove e ed tutti
+    """.split()
+)
+
 
 
 def parts(name: str) -> list[str]:
