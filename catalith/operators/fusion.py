@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.functions.models import overlap_pairs  # noqa: F401
 from catalith.operators.contracts import Condition, InvalidRequest, SearchRequest
 from catalith.operators.filters import apply_filters
 from catalith.operators.vectors import DIGITS, nearest, nearest_multi, sparse_scores, top_k
@@ -62,12 +63,3 @@ def rerank(items: DataFrame, query: str, score_pairs: Callable[[list[tuple[str,
 
     ranked = items.withColumn("reranking_score", scored(F.col(text_col))).orderBy(F.desc("reranking_score"), position_col)
     return ranked.limit(k) if k and k > 0 else ranked
-
-
-def overlap_pairs(pairs: list[tuple[str, str]]) -> list[float]:
-    """A pair model without weights: the share of the query's words that the text has."""
-    out = []
-    for query, text in pairs:
-        words = set(query.lower().split())
-        out.append(len(words & set(text.lower().split())) / len(words) if words else 0.0)
-    return out

@@ -132,11 +132,12 @@ SQL = {
     "parsed_numbers": "SELECT o_orderkey, o_orderkey * 1000 AS number, o_orderkey AS rank FROM orders",
     "relation_types": "WITH k AS (SELECT event_id % 5 AS i FROM events) SELECT ['Sequel','Parent Story','Summary','Other','Side Story'][i + 1] AS label, ['SEQUEL','PARENT_STORY','SUMMARY','OTHER','SIDE_STORY'][i + 1] AS relation, count(*) AS n FROM k GROUP BY 1, 2",
     "related_addresses": "WITH u AS (SELECT record_id, unnest(sources) AS url FROM anime_records) SELECT DISTINCT record_id, 'Movie' AS relation, 'Related Anime' AS fallback, upper(substr(regexp_extract(url, '//([^/]+)/', 1), 1, 1)) || lower(substr(regexp_extract(url, '//([^/]+)/', 1), 2)) AS title FROM u",
-    "reachable": "WITH RECURSIVE e AS (SELECT n_regionkey + 1000000 AS src, n_nationkey + 100000 AS dst FROM nation UNION ALL SELECT c_nationkey + 100000, c_custkey FROM customer WHERE c_custkey < 100000), w(node, hop) AS (SELECT 1000001, 0 UNION ALL SELECT e.dst, hop + 1 FROM w JOIN e ON e.src = w.node WHERE hop < 3) SELECT node, min(hop) AS hop FROM w GROUP BY node",
+    "reachable": """WITH RECURSIVE e AS (SELECT -2 * n_regionkey - 2 AS src, -2 * n_nationkey - 1 AS dst FROM nation UNION ALL SELECT -2 * c_nationkey - 1, c_custkey FROM customer), w(node, hop) AS (SELECT -4, 0 UNION ALL SELECT e.dst, hop + 1 FROM w JOIN e ON e.src = w.node WHERE hop < 3)
+ SELECT CASE WHEN node >= 0 THEN node WHEN node % 2 = 0 THEN 1000000 - node // 2 - 1 ELSE 100000 - (node + 1) // 2 END AS node, min(hop) AS hop FROM w GROUP BY w.node""",
     "session_counts": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
  n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY 1""",
     "sliding_windows": "WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS day, value FROM events) SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1",
-    "payload_updates": "SELECT c_custkey AS point_id, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS segment, c_nationkey::varchar AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'gold' END AS tier FROM customer WHERE c_custkey <= 1000",
+    "payload_updates": "SELECT c_custkey AS point_id, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS segment, c_nationkey::varchar AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'gold' END AS tier FROM customer",
     "backoff_delays": "WITH f AS (SELECT DISTINCT event_id % 6 AS failures FROM events) SELECT failures, least(2.0::double * least(pow(2.0, failures), 8.0), 30.0) AS delay, least(2.0::double * least(pow(2.0, failures), 8.0), 30.0) * 1.5 AS retry_delay FROM f",
     "title_texts": "SELECT record_id, concat_ws(' | ', 'Title: ' || title, CASE WHEN length(trim(type)) > 0 THEN 'Type: ' || type END) AS text, array_to_string(list_filter(coalesce(genres, []), lambda g: g IS NOT NULL AND length(trim(g)) > 0), ', ') AS genres FROM anime_records",
 }

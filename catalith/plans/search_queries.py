@@ -132,7 +132,7 @@ SQL = {
     "fusion_rrf": f"WITH {_Q01}, pts AS (SELECT * FROM embeddings), {_BRANCH} {_RRF}",
     "fusion_dbsf": f"WITH {_Q01}, pts AS (SELECT * FROM embeddings), {_BRANCH}, s AS (SELECT branch, avg(score) AS m, stddev_pop(score) AS sd FROM b GROUP BY branch) SELECT id, round(sum(CASE WHEN sd > 1e-12 THEN (score - (m - 3 * sd)) / (6 * sd) ELSE 0.5 END), 6) AS score FROM b JOIN s USING (branch) GROUP BY id ORDER BY score DESC, id LIMIT 10",
     "hybrid_search": f"WITH {_Q01}, pts AS (SELECT * FROM embeddings WHERE label >= 2), {_BRANCH} {_RRF}",
-    "rerank_overlap": """WITH i AS (SELECT p_partkey, list_distinct(regexp_split_to_array(trim(lower(p_name)), '\\s+')) AS w FROM part ORDER BY p_partkey LIMIT 200)
+    "rerank_overlap": """WITH i AS (SELECT p_partkey, list_distinct(regexp_split_to_array(trim(lower(p_name)), '\\s+')) AS w FROM part)
   SELECT p_partkey, round(len(list_intersect(w, ['green','blue','small','part'])) / 4.0, 6) AS score FROM i ORDER BY score DESC, p_partkey LIMIT 20""",
     "filter_operators": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_returnflag IN ('A','R') AND l_quantity >= 10 AND l_quantity < 40 AND l_linestatus <> 'O' AND NOT l_discount = 0.05 AND (l_linenumber = 1 OR l_tax NOT IN (0.0, 0.02)) GROUP BY ALL""",
     "filter_nested": "SELECT record_id FROM anime_records WHERE anime_season.year >= 2010 AND list_has_any(genres, ['Comedy','Drama'])",

@@ -226,3 +226,17 @@ def test_points_and_encoders(spark):
     assert got == {"anime": "Title: T", "character": "Name: N", "episode": "Episode 3 | E (Filler)"}
     e = encode_column(spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "id int, t string"), "t", "v", HashingEncoder, 64)
     assert [any(r["v"]) for r in e.orderBy("id").collect()] == [True, False, False]
+
+
+def test_model_factories(spark):
+    from catalith.functions import models
+
+    assert models.create_pair_model("overlap").score([("a b", "b c"), ("", "x")]) == [0.5, 0.0]
+    for make in (models.create_encoder, models.create_image_encoder, models.create_pair_model):
+        with pytest.raises(ValueError):
+            make("nobody's")
+    with pytest.raises(RuntimeError, match="needs the library"):
+        models.create_encoder("onnx", model="m", dim=8).encode(["x"])
+    images = spark.createDataFrame([(1, [bytearray(b"abc"), bytearray(b"")]), (2, None), (3, [bytearray(b"abc"), bytearray(b"xyz")])], "id int, images array<binary>")
+    got = {r["id"]: r["v"] for r in models.encode_images(images, "images", "v", lambda: models.create_image_encoder("hashing", dim=16)).collect()}
+    assert [len(got[i]) for i in (1, 2, 3)] == [1, 0, 2] and got[1][0] == got[3][0] and abs(sum(x * x for x in got[3][1]) - 1) < 1e-9
