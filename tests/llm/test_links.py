@@ -88,3 +88,13 @@ def test_few_telling_pairs_leave_the_weights_near_the_prior():
     x = np.random.default_rng(1).standard_normal((4, len(matching.PRIOR)))
     assert np.allclose(matching.fit_logistic(x[:0], np.zeros(0), matching.PRIOR), matching.PRIOR)
     assert np.abs(matching.fit_logistic(x, np.array([0.0, 1.0, 0.0, 1.0]), matching.PRIOR) - matching.PRIOR).max() < 2.5
+
+
+def test_the_fit_converges_from_a_prior_far_off():
+    rng = np.random.default_rng(2)
+    n = len(matching.PRIOR)
+    x = np.hstack([np.ones((20_000, 1)), 5 * rng.standard_normal((20_000, n - 1))])
+    y = (x @ rng.standard_normal(n) > 0).astype(float)  # separable
+    w = matching.fit_logistic(x, y, -50 * np.ones(n))
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+    assert np.abs(x.T @ (y - p) - (w + 50)).max() < 1e-2 * len(x) ** 0.5 and ((p > 0.5) == y).mean() > 0.98
