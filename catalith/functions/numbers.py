@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,3 +53,9 @@ def cache_key(prefix: str, schema_hash: str, *parts: Column) -> Column:
     """A readable key of the parts in order; a long one is hashed."""
     key = F.concat_ws(":", F.lit(prefix), F.lit(schema_hash), *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
     return F.when(F.length(key) > 200, F.concat_ws(":", F.lit(prefix), F.lit(schema_hash), F.sha2(key, 256))).otherwise(key)
+
+
+def source_hash(function: Callable, *dependencies: Callable) -> str:
+    """The first 16 digits of the hash of a function's source and of what it depends on: changes when one of them does."""
+    written = "\n".join(inspect.getsource(f) for f in (function, *dependencies))
+    return hashlib.sha256(written.encode()).hexdigest()[:16]

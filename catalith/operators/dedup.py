@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,8 +89,29 @@ def pick_by_source(relations: DataFrame, url_key: str, source: str, position: st
     return best.select(url_key, *[F.col(f"r.{c}").alias(c) for c in rest], "first_seen")
 
 
-def distinct_by_meaning(df: DataFrame, values_col: str, vectors_col: str, threshold: float = 0.85) -> DataFrame:
-    """Array values in order, each kept if no kept one is more similar than the threshold; values without a vector by spelling."""
+def script_language(value: str) -> str | None:
+    """A stand-in for a language detector: what the script tells."""
+    if re.search("[\u3040-\u30ff]", value):
+        return "ja"
+    for language, letters in (("zh", "[\u4e00-\u9fff]"), ("ko", "[\uac00-\ud7af]"), ("ru", "[\u0400-\u04ff]"), ("latin", "[A-Za-z]")):
+        if re.search(letters, value):
+            return language
+    return None
+
+
+def distinct_by_meaning(df: DataFrame, values_col: str, vectors_col: str, threshold: float = 0.85, language: Callable[[str], str | None] | None = None) -> DataFrame:
+    """Array values in order, each kept if no kept one is more similar than the threshold; values without a vector by spelling.
+
+    With ``language`` values are compared within their language only, and stand by language in order of appearance, those
+    of an unknown one last.
+    """
+
+    def by_language(values: list, vectors: list | None) -> list:
+        groups: dict = {}
+        for i, v in enumerate(values):
+            groups.setdefault(language(v) if v else None, []).append(i)
+        order = [k for k in groups if k is not None] + [None] * (None in groups)
+        return [v for k in order for v in thin([values[i] for i in groups[k]], None if vectors is None else [vectors[i] for i in groups[k]])]
 
     def thin(values: list, vectors: list) -> list:
         kept, units, seen = [], [], set()
@@ -108,6 +130,6 @@ def distinct_by_meaning(df: DataFrame, values_col: str, vectors_col: str, thresh
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{values_col: [None if v is None else thin(list(v), x) for v, x in zip(b[values_col], b[vectors_col])]})
+            yield b.assign(**{values_col: [None if v is None else (by_language if language else thin)(list(v), x) for v, x in zip(b[values_col], b[vectors_col])]})
 
     return df.mapInPandas(run, df.schema)

@@ -39,6 +39,11 @@ def from_anilist(df: DataFrame) -> DataFrame:
     return r.select("anime_id", F.concat(F.lit("https://anilist.co/anime/"), F.col("e.node.id").cast("string")).alias("url"), F.coalesce(F.col("e.node.title.romaji"), F.col("e.node.title.english")).alias("title"), enums.graph_relation(F.col("e.relation_type")).alias("relation"), F.lit("anilist").alias("source"), (F.lit(3_000_000) + F.col("pos")).cast("bigint").alias("pos"))
 
 
+def from_anidb(df: DataFrame) -> DataFrame:
+    """None: this source's relations carry no addresses.  The table has the columns of the others."""
+    return df.filter(F.lit(False)).select("anime_id", *[F.lit(None).cast("string").alias(c) for c in ("url", "title", "relation")], F.lit("anidb").alias("source"), F.lit(0).cast("bigint").alias("pos"))
+
+
 def mal_base(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(myanimelist\.net/anime/\d+)", 1), F.lit(""))
 

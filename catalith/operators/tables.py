@@ -8,6 +8,7 @@ stays for those who are still reading it, and goes when the next one is made.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,3 +119,14 @@ class Collection:
 
     def delete(self) -> bool:
         return bool(self._fs.delete(self._path(self.path), True))
+
+
+def reindex(records: DataFrame, collection: Collection, to_points: Callable[[DataFrame], DataFrame], usable: Column, position: str | None = None) -> BatchResult:
+    """A collection made anew from records: unusable ones are skipped and counted, the rest turned into points and swapped in.
+
+    ``to_points`` gives the collection's columns, vectors included; readers keep the old version until the new one stands.
+    """
+    counts = records.agg(F.count("*").alias("all"), F.count_if(usable).alias("good")).first()
+    collection.replace(upsert(collection.read().limit(0), to_points(records.filter(usable)), "id", position))
+    stored = collection.read().count()
+    return BatchResult(counts["all"], stored, counts["all"] - counts["good"])

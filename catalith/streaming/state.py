@@ -90,6 +90,11 @@ def cache_put(cache: DataFrame, entries: DataFrame, now: Column, ttl_seconds: in
     return cache.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def cacheable(responses: DataFrame, status: str = "status_code") -> DataFrame:
+    """Responses that may be kept: no errors, nothing without a status."""
+    return responses.filter(F.col(status) < 400)
+
+
 def cache_sweep(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires") > now)
 

@@ -240,3 +240,29 @@ def test_model_factories(spark):
     images = spark.createDataFrame([(1, [bytearray(b"abc"), bytearray(b"")]), (2, None), (3, [bytearray(b"abc"), bytearray(b"xyz")])], "id int, images array<binary>")
     got = {r["id"]: r["v"] for r in models.encode_images(images, "images", "v", lambda: models.create_image_encoder("hashing", dim=16)).collect()}
     assert [len(got[i]) for i in (1, 2, 3)] == [1, 0, 2] and got[1][0] == got[3][0] and abs(sum(x * x for x in got[3][1]) - 1) < 1e-9
+
+
+def test_language_groups_name_forms_hashes_and_reindexing(spark, tmp_path):
+    from catalith.functions import numbers
+    from catalith.operators import dedup, relations, tables
+    from catalith.streaming import state
+
+    df = spark.createDataFrame([(["One", "いち", "one ", "Two", "?!"], [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.99, 0.01], None])], "v array<string>, x array<array<double>>")
+    assert dedup.distinct_by_meaning(df, "v", "x", 0.85, dedup.script_language).first()["v"] == ["One", "いち", "?!"]
+    assert dedup.distinct_by_meaning(df, "v", "x").first()["v"] == ["One", "?!"]
+    forms = value(spark, text.name_forms_of(F.lit("サクラ")))
+    assert forms["script"] == "japanese" and forms["japanese"]["hiragana"] == "さくら" and forms["japanese"]["romaji"] == "sakura" and forms["english"] is None
+    assert value(spark, text.name_forms_of(F.lit("Ann Lee")))["english"]["last_first"] == "Lee Ann"
+    assert len(numbers.source_hash(dedup.keep_last)) == 16 and numbers.source_hash(dedup.keep_last) != numbers.source_hash(dedup.keep_last, dedup.script_language)
+    assert [r[0] for r in state.cacheable(spark.createDataFrame([(200,), (404,), (None,)], "status_code int")).collect()] == [200]
+    assert relations.from_anidb(spark.createDataFrame([(1,)], "anime_id int")).collect() == []
+    c = tables.Collection(spark, str(tmp_path / "again"))
+    c.create("id string, v int", {})
+    c.add(spark.createDataFrame([("old", 1)], "id string, v int"))
+    old = c.read()
+    records = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, n int")
+    result = tables.reindex(records, c, lambda r: r.select("id", (F.col("n") * 10).alias("v")), F.col("id").isNotNull())
+    assert (result.total, result.successful, result.failed) == (3, 2, 1) and sorted(map(tuple, c.read().collect())) == [("a", 10), ("b", 20)]
+    assert [tuple(r) for r in old.collect()] == [("old", 1)]  # who still reads the version before finds it whole
+    with pytest.raises(ValueError, match="repeat a key"):
+        c.add(spark.createDataFrame([("a", 1), ("a", 2)], "id string, v int"))
