@@ -67,16 +67,25 @@ def validated(score: Column, same_role: Column, shared_actor: Column) -> Column:
     return (score > 0.9) | (raised > 0.5) | ((raised > 0.3) & same_role)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """The last right values at or before each left row, by one union and one window instead of a range join.
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], stretch: int = 86_400) -> DataFrame:
+    """The last right values at or before each left row, by one union and windows instead of a range join.
 
-    A hot key is split by time upstream where needed; the window streams and holds one value a column.
+    Windows run within stretches of so many seconds, so a key of any number of rows is split by time; what a stretch
+    leaves behind is carried into the later ones from one row a key and stretch.
     """
-    a = left.select("*", F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values])
-    b = right.select(*[F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values])
-    before = Window.partitionBy(key).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).select("*", *[F.last(f"_{v}", ignorenulls=True).over(before).alias(v) for v in values])
-    return filled.filter("_side = 1").drop("_ts", "_side", *[f"_{v}" for v in values])
+    at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (stretch * 1_000_000))
+    a = left.select("*", F.col(left_ts).alias("_ts"), at(left_ts).alias("_part"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values])
+    b = right.select(
+        *[F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(right_ts).alias("_ts"), at(right_ts).alias("_part"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values]
+    )
+    whole = a.unionByName(b)
+    left_behind = whole.groupBy(key, "_part").agg(*[F.max_by(f"_{v}", F.when((F.col("_side") == 0) & F.col(f"_{v}").isNotNull(), F.col("_ts"))).alias(f"_{v}") for v in values])
+    parts_before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left_behind.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), *[F.last(f"_{v}", ignorenulls=True).over(parts_before).alias(f"_carried_{v}") for v in values])
+    before = Window.partitionBy(key, "_part").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = whole.select("*", *[F.last(f"_{v}", ignorenulls=True).over(before).alias(f"_last_{v}") for v in values]).filter("_side = 1")
+    joined = filled.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")), "left")
+    return joined.select(*left.columns, *[F.coalesce(f"_last_{v}", f"_carried_{v}").alias(v) for v in values])
 
 
 def k_hop(edges: DataFrame, start: list, hops: int, src: str = "src", dst: str = "dst") -> DataFrame:

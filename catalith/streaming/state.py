@@ -16,10 +16,20 @@ TRANSIENT_CODES = (408, 425, 429, 500, 502, 503, 504, 599)
 TRANSIENT_WORDS = ("timeout", "timed out", "connection", "temporarily", "unavailable")
 
 
-def within_rate(events: DataFrame, key: str, ts: str, most: int, seconds: int = 60) -> DataFrame:
-    """Events with the number of their key's events in the window up to them, and whether the limit allows them."""
-    window = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(window)).withColumn("allowed", F.col("in_window") <= most)
+def within_rate(events: DataFrame, key: str, ts: str, most: int, seconds: int = 60, stretch: int = 86_400) -> DataFrame:
+    """Events with the number of their key's events in the window up to them, and whether the limit allows them.
+
+    Windows run within stretches of time, so a key of any number of rows is split; events at the end of one stretch are
+    seen by the next one too.
+    """
+    size = max(stretch, seconds) * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = F.floor(at / size)
+    seen = F.when((own + 1) * size - at <= seconds * 1_000_000, F.array(own, own + 1)).otherwise(F.array(own))
+    parts = events.withColumns({"_at": at, "_own": own}).withColumn("_part", F.explode(seen))
+    window = Window.partitionBy(key, "_part").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    counted = parts.withColumn("in_window", F.count("*").over(window)).filter(F.col("_part").eqNullSafe(F.col("_own")))
+    return counted.drop("_at", "_own", "_part").withColumn("allowed", F.col("in_window") <= most)
 
 
 def backoff_seconds(failures: Column, base: float = 2.0, most: float = 60.0, retry: bool = False) -> Column:

@@ -266,3 +266,19 @@ def test_language_groups_name_forms_hashes_and_reindexing(spark, tmp_path):
     assert [tuple(r) for r in old.collect()] == [("old", 1)]  # who still reads the version before finds it whole
     with pytest.raises(ValueError, match="repeat a key"):
         c.add(spark.createDataFrame([("a", 1), ("a", 2)], "id string, v int"))
+
+
+def test_hot_keys_are_split_by_time_without_a_change(spark):
+    import random as rnd
+
+    from catalith.operators import joins
+    from catalith.streaming import state
+
+    rng = rnd.Random(5)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 4000), rng.choice([None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, s long, v int").withColumn("ts", F.timestamp_seconds("s"))
+    fine, whole = ({r["id"]: r["in_window"] for r in state.within_rate(df, "k", "ts", 5, 60, stretch).collect()} for stretch in (100, 10**9))
+    assert fine == whole == {i: sum(k2 == k and s - 60 <= s2 <= s for _, k2, s2, _ in rows) for i, k, s, _ in rows}
+    left, right = df.filter("id % 2 = 0").select("id", "k", "ts"), df.filter("id % 2 = 1").select("k", F.col("ts").alias("r"), "v", "id").groupBy("k", "r").agg(F.max("v").alias("v"))
+    got, want = ({r["id"]: r["v"] for r in joins.as_of(left, right, "k", "ts", "r", ["v"], stretch).collect()} for stretch in (50, 10**9))
+    assert got == want and len(got) == 150 and sum(v is not None for v in got.values()) > 100
