@@ -102,7 +102,7 @@ SQL: dict[str, str] = {
             SELECT anime_key, record_id, coalesce(trust, 0) AS trust,
                    CASE WHEN updated_at >= TIMESTAMP '2000-01-01' AND updated_at <= now()::TIMESTAMP THEN updated_at ELSE TIMESTAMP '1970-01-01' END AS stated
             FROM anime_records LEFT JOIN feeds USING (feed_id)
-            WHERE anime_key IN (SELECT anime_key FROM several) AND lower(trim(regexp_replace(status, '\s+', ' ', 'g'))) NOT IN ({", ".join("'" + t.replace("'", "''") + "'" for t in NOTHING)})
+            WHERE anime_key IN (SELECT anime_key FROM several) AND lower(trim(regexp_replace(status, '\\s+', ' ', 'g'))) NOT IN ({", ".join("'" + t.replace("'", "''") + "'" for t in NOTHING)})
         )
         SELECT anime_key, record_id FROM said
         QUALIFY row_number() OVER (PARTITION BY anime_key ORDER BY stated DESC, trust DESC, record_id) = 1
