@@ -98,3 +98,11 @@ def test_the_fit_converges_from_a_prior_far_off():
     w = matching.fit_logistic(x, y, -50 * np.ones(n))
     p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
     assert np.abs(x.T @ (y - p) - (w + 50)).max() < 1e-2 * len(x) ** 0.5 and ((p > 0.5) == y).mean() > 0.98
+
+
+def test_the_fit_takes_the_least_hashes_and_moves_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FIT_PAIRS", 100)
+    pairs = spark.range(0, 6000, 1, 6).select(F.col("id").alias("ra"), (F.col("id") * 3).alias("rb"))
+    some, every = ([(r["hash"], r["ra"], r["rb"]) for r in d.select("hash", "ra", "rb").collect()] for d in (matching._least_hashed(pairs), pairs.withColumn("hash", F.xxhash64("ra", "rb"))))
+    assert sorted(some)[:100] == sorted(every)[:100] and len(some) < 300  # each of six partitions had sent 100
+    assert matching._least_hashed(pairs.limit(150)).count() == 150 and matching._least_hashed(pairs.limit(0)).count() == 0
