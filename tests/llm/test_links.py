@@ -106,3 +106,13 @@ def test_the_fit_takes_the_least_hashes_and_moves_few_rows(spark, monkeypatch):
     some, every = ([(r["hash"], r["ra"], r["rb"]) for r in d.select("hash", "ra", "rb").collect()] for d in (matching._least_hashed(pairs), pairs.withColumn("hash", F.xxhash64("ra", "rb"))))
     assert sorted(some)[:100] == sorted(every)[:100] and len(some) < 300  # each of six partitions had sent 100
     assert matching._least_hashed(pairs.limit(150)).count() == 150 and matching._least_hashed(pairs.limit(0)).count() == 0
+
+
+def test_rows_entered_many_times_are_all_matched(spark):
+    schema = "id bigint, names array<string>, native string, actors array<string>, languages array<string>, gender string, age string, titles array<string>"
+    actors = ["Yamakubo, Hideto", *(f"Tokugaoka, {x}" for x in ("Nori", "Kenta", "Saburo", "Minato", "Reiji", "Goro"))]
+    left = spark.createDataFrame([(i, ["Kazeuchi, Emato"], "風内絵馬斗", actors[: 1 + i], ["ja"] * (1 + i), "Female", "39", ["Show"]) for i in range(7)], schema)
+    right = spark.createDataFrame([(100, ["Emato Kazeuchi"], "風内絵馬斗", actors[:1], ["ja"], "Female", "39", ["Show"])], schema)
+    scores = [r["score"] for r in matching.retrieve(matching.documents(left), matching.documents(right)).collect()]
+    assert len(set(scores)) == 7 and min(scores) >= matching.NEAR_RIGHT * max(scores)  # no ties, all near the best
+    assert {(r["left_id"], r["right_id"]) for r in matching.match_tables(left, right).collect()} == {(i, 100) for i in range(7)}
