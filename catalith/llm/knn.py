@@ -5,21 +5,23 @@ the representatives of cells are fitted on a bounded sample of at most ``SAMPLE`
 belongs to the cell of the representative nearest to it, and inside a cell each projection keeps its own sorted array.
 Then, for a query:
 
-* in its own cell a window opens around its projection in every array, and a vector that falls into enough windows
+* in its own cell (or the nearest ones that together hold ``HOME`` times k vectors) a window opens around its projection in every array, and a vector that falls into enough windows
   (``THRESHOLD`` of the ``m``) is verified by its exact cosine; virtual rehashing widens all windows together, without
   building anything new, until the k-th verified vector lies within the radius the windows stand for;
 * the distance of that k-th vector is the radius the query still needs: in the ``PROBES`` cells that are next nearest
   its windows are opened once, as wide as that, and what collides and is as near is verified.
 
 The half-width for a radius R is ``WIDTH * R / sqrt(dim)``: the projected difference of two vectors at distance R has
-a deviation of about R / sqrt(dim) on each direction.  Cells keep their size as the points grow, up to ``SAMPLE /
-LEAST_SAMPLED`` of them, so what a query costs is the points of the cells it reaches, a smaller share the more there
-are.  What comes to the driver is the number of points and queries of each cell.
+a deviation of about R / sqrt(dim) on each direction.  Cells keep their size as the points grow: where the sample
+carries fewer than are needed, its cells are regions, each split on the executors into cells of about ``CELL`` points,
+fitted on a sample of the region.  A vector is placed by region and then by cell, a query looks for its nearest cells
+in the ``NEAR_REGIONS`` nearest regions.  So what a query costs is the points of the cells it reaches, a smaller share
+the more there are.  What comes to the driver is a representative and the number of points and queries of each cell.
 
 Cells larger than two blocks (copies of one vector, or very many points) are split by a hash, and so are the queries of
 a cell: one task handles one block of points and one of queries, whatever repeats.  Each gives at most k points a
-query; a point found in several blocks keeps its best similarity before the best k are taken.  A query whose own cell
-holds fewer than k points is compared with all.
+query; a point found in several blocks keeps its best similarity before the best k are taken.  A query that finds
+fewer than k points there is compared with all.
 
 Cases: vectors that are null, all zero, of another length or not finite neither ask nor answer.  A point with several
 vectors counts by its best one.  Equal similarities go to the smaller id.  Fewer than k usable points give fewer rows,
@@ -42,6 +44,7 @@ from catalith.runtime import cut
 SAMPLE = 20_000  # rows the directions are fitted on, at most
 CELL, LEAST_SAMPLED = 512, 16  # points in a cell, and vectors of the sample for a representative, about
 PROBES, TURNS = 8, 6  # cells a query is looked for in beside its own; turns in which representatives settle
+NEAR_REGIONS, HOME = 36, 4  # regions whose cells a query is compared with; vectors it needs around it at first, times k
 POINT_BLOCK, QUERY_BLOCK = 2_048, 8_192  # vectors in a block, about
 DIRECTIONS = 24
 THRESHOLD = 0.875  # share of the windows a vector has to fall into
@@ -82,20 +85,66 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
+def _nearest(x: np.ndarray, representatives: np.ndarray) -> np.ndarray:
+    parts = [(x[k : k + 4096] @ representatives.T).argmax(axis=1) for k in range(0, len(x), 4096)]
+    return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+
+
+def _most(values: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n greatest values, these first; of equal ones the first."""
+    best = np.sort(np.argpartition(-values, n - 1)[:n]) if n < len(values) else np.arange(len(values))
+    return best[np.argsort(-values[best], kind="stable")]
+
+
 class Index(NamedTuple):
-    """Directions of the sorted arrays, and the representatives of the cells."""
+    """Directions of the sorted arrays, and the representatives of the cells; of regions too, where the cells are many."""
 
     centre: np.ndarray
     directions: np.ndarray
     representatives: np.ndarray
+    regions: np.ndarray | None = None
+    starts: np.ndarray | None = None  # the first cell of each region, and the end
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         return (x - self.centre) @ self.directions
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """The cell of each vector."""
-        parts = [(x[k : k + 4096] @ self.representatives.T).argmax(axis=1) for k in range(0, len(x), 4096)]
-        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+        if self.regions is None:
+            return _nearest(x, self.representatives)
+        region = _nearest(x, self.regions)
+        order, out = np.argsort(region, kind="stable"), np.zeros(len(x), np.int32)
+        for at in np.split(order, np.flatnonzero(np.diff(region[order])) + 1) if len(x) else []:
+            first, end = self.starts[region[at[0]]], self.starts[region[at[0]] + 1]
+            out[at] = first + (x[at] @ self.representatives[first:end].T).argmax(axis=1)
+        return out
+
+    def near_cells(self, x: np.ndarray, held: np.ndarray, needed: int) -> Iterator[np.ndarray]:
+        """The cells that hold points nearest to each vector, the nearest first: NEAR_REGIONS of them, or all where those hold fewer than needed."""
+        known = np.flatnonzero(held)  # of the others no point is nearest
+        of_known = self.representatives[known]
+        by_region = None if self.regions is None else x @ self.regions.T
+        for n, q in enumerate(x):
+            if by_region is None:
+                cells, similar = known, of_known @ q
+            else:
+                cells = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in _most(by_region[n], NEAR_REGIONS)])
+                cells = cells[held[cells] > 0]
+                similar = self.representatives[cells] @ q
+            order = cells[_most(similar, NEAR_REGIONS)]
+            yield order if held[order].sum() >= needed else known[np.argsort(-(of_known @ q), kind="stable")]
+
+
+def _settled(x: np.ndarray, cells: int) -> np.ndarray:
+    """Representatives of the vectors in so many cells."""
+    x = x[np.lexsort(x.T[:4])]  # in an order of its own, whatever order they came in
+    out = x[np.random.default_rng(0).permutation(len(x))[:cells]]
+    for _ in range(TURNS):
+        sums = np.zeros_like(out)
+        np.add.at(sums, _nearest(x, out), x)
+        norm = np.linalg.norm(sums, axis=1)
+        out[norm > 0] = sums[norm > 0] / norm[norm > 0, None]
+    return out
 
 
 def fit_index(units: DataFrame, dim: int, rows: int, m: int = DIRECTIONS) -> Index:
@@ -106,19 +155,38 @@ def fit_index(units: DataFrame, dim: int, rows: int, m: int = DIRECTIONS) -> Ind
     m = min(m, dim)
     if not len(x):
         return Index(np.zeros(dim, np.float32), np.eye(dim, m, dtype=np.float32), np.eye(1, dim, dtype=np.float32))
-    x = x[np.lexsort(x.T[:4])]  # the sample in an order of its own, whatever order it came in
     centre = x.mean(axis=0, dtype=np.float64)
     _, v = np.linalg.eigh((x - centre).T @ (x - centre))
     cells = max(1, min(rows // CELL, len(x) // LEAST_SAMPLED))
-    index = Index(centre.astype(np.float32), np.ascontiguousarray(v[:, ::-1][:, :m]).astype(np.float32), x[np.random.default_rng(0).permutation(len(x))[:cells]])
-    for _ in range(TURNS):
-        cell = index.cells(x)
-        sums = np.zeros_like(index.representatives)
-        np.add.at(sums, cell, x)
-        norm = np.linalg.norm(sums, axis=1)
-        settled = norm > 0
-        index.representatives[settled] = sums[settled] / norm[settled, None]
-    return index
+    return Index(centre.astype(np.float32), np.ascontiguousarray(v[:, ::-1][:, :m]).astype(np.float32), _settled(x, cells))
+
+
+def split_regions(units: DataFrame, dim: int, index: Index) -> Index:
+    """The index with its cells as regions, each split into cells of about CELL points on a sample of it of at most SAMPLE vectors, about."""
+    every, regions = max(1, CELL // LEAST_SAMPLED), index.representatives
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(_matrix(b.column("vec"), dim)))], [*b.schema.names, "cell"])
+
+    sampled = cut(units.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).mapInArrow(place, "id string, vec binary, cell int"))
+    held = {c: n * every for c, n in _counts(sampled).items()}
+    further = _of_cell([max(1, math.ceil(held.get(c, 0) / every / SAMPLE)) for c in range(len(regions))])
+
+    def split(a: pa.Table) -> pa.Table:
+        region, x = a.column("cell")[0].as_py(), _matrix(a.column("vec"), dim)
+        cells = min(math.ceil(held[region] / CELL), len(x) // LEAST_SAMPLED)
+        found = _settled(x, cells) if cells > 1 else regions[[region]]
+        return pa.table({"region": pa.array([region] * len(found), pa.int32()), "vec": pa.array([v.tobytes() for v in found], pa.binary())})
+
+    taken = sampled.filter(F.pmod(F.xxhash64("vec", "id"), further) == 0).select("cell", "vec")
+    found = taken.groupBy("cell").applyInArrow(split, "region int, vec binary").toArrow()
+    of, x = np.asarray(found.column("region"), np.int64), _matrix(found.column("vec"), dim)
+    missed = np.setdiff1d(np.arange(len(regions)), of)  # regions without a sample stay whole
+    of, x = np.concatenate([of, missed]), np.concatenate([x, regions[missed]])
+    order = np.lexsort((*x.T[:4], of))
+    starts = np.searchsorted(of[order], np.arange(len(regions) + 1))
+    return index._replace(representatives=np.ascontiguousarray(x[order]), regions=regions, starts=starts)
 
 
 def block_neighbours(
@@ -136,6 +204,8 @@ def block_neighbours(
     arrays = np.take_along_axis(projected, order, axis=1)  # one sorted array a direction
     asked = index.projected(queries)
     exact, doubled = queries.astype(np.float64), points.astype(np.float64)
+    known, number = np.unique(ids, return_inverse=True)
+    alone = len(known) == n  # one vector a point
 
     def colliding(q: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
         """The points that fall into enough of the windows around each of some queries."""
@@ -148,21 +218,23 @@ def block_neighbours(
             for a, b, none in zip(low, high, empty)
         ]
 
-    def ranked(found: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best points by exact similarity, each by its best vector."""
+    def ranked(found: np.ndarray, query: np.ndarray, reach: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The k best points by exact similarity, each by its best vector, of those within reach."""
         similar = np.round(doubled[found] @ query, 12)
-        best = np.lexsort((ids[found], -similar))
-        _, first = np.unique(ids[found[best]], return_index=True)
-        first = np.sort(first)[:k]
-        return ids[found[best[first]]], similar[best[first]]
+        inside = 2 - 2 * similar <= reach
+        found, similar = found[inside], similar[inside]
+        best = np.lexsort((number[found], -similar))
+        if not alone:
+            _, first = np.unique(number[found[best]], return_index=True)
+            best = best[np.sort(first)]
+        best = best[:k]
+        return ids[found[best]], similar[best]
 
     every = np.arange(len(queries))
     if radii is not None:
         for q, found in zip(every, colliding(every, radii)):
             found = found if radii[q] < 2 else np.arange(n)
-            near, similar = ranked(found, exact[q])
-            inside = 2 - 2 * similar <= radii[q] ** 2 + 1e-6
-            yield near[inside], similar[inside]
+            yield ranked(found, exact[q], radii[q] ** 2 + 1e-6)
         return
     results: list = [None] * len(queries)
     radius, left = np.full(len(queries), FIRST_RADIUS), every
@@ -184,9 +256,14 @@ def block_neighbours(
     yield from results
 
 
+def _of_cell(figures: list[int]) -> Column:
+    """The figure of the cell of a row; one literal, however many cells."""
+    return F.get(F.split(F.lit(",".join(map(str, figures))), ",").cast("array<int>"), F.col("cell"))
+
+
 def _blocks(held: dict[int, int], cells: int, size: int) -> Column:
-    """An array literal of the number of blocks of each cell."""
-    return F.lit([max(1, math.ceil(held.get(c, 0) / size)) for c in range(cells)])
+    """The number of blocks of a row's cell."""
+    return _of_cell([max(1, math.ceil(held.get(c, 0) / size)) for c in range(cells)])
 
 
 def _counts(placed: DataFrame) -> dict[int, int]:
@@ -197,8 +274,8 @@ def _met(points: DataFrame, routed: DataFrame, held: dict[int, int], index: Inde
     """(query_id, id, similarity) of the k best of each block of points for the queries (id, vec, cell, radius) routed to its cell."""
     cells = len(index.representatives)
     point_blocks, query_blocks = _blocks(held, cells, 2 * POINT_BLOCK), _blocks(_counts(routed), cells, QUERY_BLOCK)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.get(n, F.col("cell")) - 1))
-    block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.get(n, F.col("cell"))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    block = lambda n: F.pmod(F.xxhash64("id", "vec"), n).cast("int")
     left = points.select("id", "vec", "cell", block(point_blocks).alias("pb"), every(query_blocks).alias("qb"))
     right = routed.select("id", "vec", "radius", "cell", block(query_blocks).alias("qb"), every(point_blocks).alias("pb"))
 
@@ -222,7 +299,10 @@ def most_similar(points: DataFrame, queries: DataFrame, dim: int, k: int = 10) -
     bigint, vec array<float>).
     """
     units = _unit_rows(points.select(F.col("id").cast("string").alias("id"), "vec"), dim)
-    index = fit_index(units, dim, points.filter(F.col("vec").isNotNull()).count())
+    rows = points.filter(F.col("vec").isNotNull()).count()
+    index = fit_index(units, dim, rows)
+    if rows // CELL > len(index.representatives):
+        index = split_regions(units, dim, index)
     wanted = _unit_rows(queries.select(F.col("query_id").cast("bigint").alias("id"), "vec"), dim)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,23 +313,22 @@ def most_similar(points: DataFrame, queries: DataFrame, dim: int, k: int = 10) -
     held = _counts(placed)
     if not held:
         return points.sparkSession.createDataFrame([], "query_id bigint, id string, similarity double")
-    known = np.array(sorted(held), np.int32)  # of the others no point is nearest
-
-    def ranked(x: np.ndarray) -> np.ndarray:
-        """The cells that hold points, the nearest PROBES + 1 of each query first."""
-        return known[np.argsort(-(x @ index.representatives[known].T), axis=1, kind="stable")]
+    number = np.array([held.get(c, 0) for c in range(len(index.representatives))])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
-                order = ranked(_matrix(b.column("vec"), dim))
+                chosen = []
                 radii = b.column("radius").to_numpy(zero_copy_only=False)
-                first = np.isnan(radii)  # in its own cell, then in others
-                place = np.arange(len(known))[None]
-                wanted_here = np.where(first[:, None], place < 1, (place >= 1) & ((place <= PROBES) | (radii >= 2)[:, None]))
-                q, c = np.nonzero(wanted_here)
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(q)).columns, pa.array(order[q, c])], [*b.schema.names, "cell"])
+                for radius, order in zip(radii, index.near_cells(_matrix(b.column("vec"), dim), number, HOME * k)):
+                    home = 1 + int(np.searchsorted(np.cumsum(number[order]), HOME * k))
+                    if np.isnan(radius):  # in its own cell, then in others
+                        chosen.append(order[:home])
+                    else:
+                        chosen.append(order[home : PROBES + 1] if radius < 2 else np.setdiff1d(np.flatnonzero(number), order[:home]))
+                q = np.repeat(np.arange(b.num_rows), [len(c) for c in chosen])
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(q)).columns, pa.array(np.concatenate(chosen).astype(np.int32))], [*b.schema.names, "cell"])
 
     routed = "id bigint, vec binary, radius double, cell int"
     home = cut(_met(placed, wanted.withColumn("radius", F.lit(None).cast("double")).mapInArrow(route, routed), held, index, dim, k))

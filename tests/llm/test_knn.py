@@ -94,3 +94,22 @@ def test_work_of_a_query_grows_slower_than_the_points():
         probed = np.argsort(-(x[:300] @ index.representatives.T), axis=1)[:, : knn.PROBES + 1]
         shares.append(held[probed].sum(axis=1).mean())
     assert shares[1] < 1.5 * shares[0]  # of four times the points
+
+
+def test_cells_keep_their_size_beyond_what_the_sample_carries(spark, monkeypatch):
+    for name, value in (("CELL", 32), ("SAMPLE", 400), ("NEAR_REGIONS", 12)):
+        monkeypatch.setattr(knn, name, value)
+    monkeypatch.setattr(knn, "POINT_BLOCK", 40)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 16))
+    vectors = (centres[np.arange(4000) % 100] + 0.4 * rng.standard_normal((4000, 16))).astype(np.float32)
+    points, queries = [(f"p{i:04d}", v.tolist()) for i, v in enumerate(vectors)], [(i, v.tolist()) for i, v in enumerate(vectors[::80] + np.float32(0.05))]
+    df = spark.createDataFrame(points, "id string, vec array<float>")
+    held = []
+    blocks = knn._blocks
+    monkeypatch.setattr(knn, "_blocks", lambda h, cells, size: (held.append((h, cells)), blocks(h, cells, size))[1])
+    got = {(r["query_id"], r["id"]) for r in knn.most_similar(df, spark.createDataFrame(queries, "query_id bigint, vec array<float>"), 16).collect()}
+    assert held[0][1] > 400 // knn.LEAST_SAMPLED and sum(held[0][0].values()) == 4000  # more cells than the sample carries, every point in one
+    assert np.mean([held[0][0][c] for c in held[0][0]]) <= 2 * knn.CELL
+    want = exact([(i, np.asarray(v)) for i, v in points], [(i, np.asarray(v)) for i, v in queries], 10)
+    assert len(got) == 500 and len(got & {(q, i) for q, best in want.items() for i in best}) >= 0.95 * 500
