@@ -216,3 +216,13 @@ def test_leaks_of_repeated_items(spark):
     docs = spark.createDataFrame([(1, f"{FILLER} {passage} {FILLER}"), (2, FILLER)], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, spark.createDataFrame([*items(), *repeats], "item_id bigint, text string")).collect())
     assert got == [(1, i) for i in range(200, 206)]
+
+
+def test_a_greeting_takes_no_half_of_the_name_after_it(spark):
+    firsts, lasts = ("Orvor", "Dorela", "Pavys", "Silik"), ("Brandsen", "Orrelwell", "Kestovic")
+    names = [(f, g) for f in firsts for g in lasts]
+    texts = [f"The rest is done. Cheers, {f} {g}" for f, g in names] + [f"By {f} {g} alone." for f, g in names] + [f"Sent by {g}, {f} Tax is due." for f, g in names[:9]]
+    rows = [(i, a, b, t[a:b], x) for i, t in enumerate(texts) for a, b, _, x in privacy.mentions(t, [])]
+    named = spark.createDataFrame(rows, "doc_id bigint, start int, end int, surface string, terms array<string>")
+    halves = named.join(privacy._halves(named), ["doc_id", "start", "end"]).select("doc_id", "surface").collect()
+    assert {tuple(r) for r in halves} == {(i, f"Cheers, {f}") for i, (f, _) in enumerate(names)}  # names turned round stay
